@@ -33,8 +33,13 @@ def _staged(stage):
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """Rows get a key of their own, so that repeated or null ids stay apart. ``docs`` was read from written files, which keep their splits."""
-    return docs.withColumn("_row", F.monotonically_increasing_id())
+    """Gives rows a key of their own, so that repeated or null ids stay apart: the file and the row's place in it.
+
+    Unlike a running number it does not depend on how a scan is split, so two scans of the same files agree even
+    when executors came or went between them.
+    """
+    file, row = F.hex(F.xxhash64("_metadata.file_path")), F.col("_metadata.row_index").cast("string")
+    return docs.withColumn("_row", F.concat(F.lpad(file, 16, "0"), F.lpad(row, 12, "0")))
 
 
 @_staged

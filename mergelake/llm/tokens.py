@@ -23,7 +23,7 @@ from mergelake.llm.bpe import pieces
 from mergelake.llm.common import arrow_type, field, materialise
 
 #: Bytes of text after which a block is closed.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 #: Counts gathered by a task before they are passed on.
 FLUSH = 2_000_000
 
@@ -43,6 +43,17 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     return joined.mapInArrow(_summer(id_field.name, arrow_type(id_field.dataType)), out).withColumn("over_limit", F.col("n_tokens") > F.lit(limit))
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """32-bit integers by differences and byte planes, compressed."""
+    steps = np.diff(values.astype("<u4"), prepend=np.uint32(0))
+    return pa.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32).astype(np.int64)
+
+
 _COUNTED = T.StructType([T.StructField("block", T.LongType()), T.StructField("at", T.BinaryType()), T.StructField("n", T.BinaryType())])
 
 
@@ -62,7 +73,8 @@ def _blocks(texts: DataFrame, id_field: T.StructField, path: str, block_bytes: i
         n_bytes, known, sizes, at, times, words, held = [], [], [], [], [], {}, 0
 
         def block() -> pa.RecordBatch:
-            packed = [pa.array([np.asarray(x, "<u4").tobytes()], pa.binary()) for x in (sizes, at, times)]
+            joined = [np.concatenate(x) if x else np.empty(0, np.uint32) for x in (at, times)]
+            packed = [pa.array([_packed(x)], pa.binary()) for x in (np.array(sizes, np.uint32), *joined)]
             lists = [pa.array([x], pa.list_(k)) for x, k in ((n_bytes, pa.int64()), (known, pa.int64()))]
             return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([ids], pa.list_(kind)), *lists, *packed, pa.array([list(words)], pa.list_(pa.string()))], names)
 
@@ -72,18 +84,21 @@ def _blocks(texts: DataFrame, id_field: T.StructField, path: str, block_bytes: i
                 own: Counter = Counter()
                 for segment in segments:
                     own.update(tool.pretokens(segment))
-                before = len(at)
+                rare: list[tuple[int, int]] = []
                 for word, count in own.items():
                     if word in single:
                         n += count
                     else:
-                        at.append(words.setdefault(word, len(words)))
-                        times.append(count)
+                        rare.append((words.setdefault(word, len(words)), count))
+                if rare:
+                    pairs = np.array(sorted(rare), np.uint32)
+                    at.append(pairs[:, 0])
+                    times.append(pairs[:, 1])
                 size = len((text or "").encode())
                 ids.append(key)
                 n_bytes.append(size)
                 known.append(n)
-                sizes.append(len(at) - before)
+                sizes.append(len(rare))
                 held += size + 64
                 if held >= block_bytes:
                     yield block()
@@ -129,7 +144,8 @@ def _summer(id_name: str, kind: pa.DataType):
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(name)[i].as_py() for name in ("known", "sizes", "at", "times", "counted")}
-                sizes, at, times = (np.frombuffer(row[k], "<u4").astype(np.int64) for k in ("sizes", "at", "times"))
+                sizes = _unpacked(row["sizes"], len(row["known"]))
+                at, times = (_unpacked(row[k], int(sizes.sum())) for k in ("at", "times"))
                 n = np.zeros(int(at.max(initial=-1)) + 1, np.int64)
                 for part in row["counted"] or []:
                     n[np.frombuffer(part["at"], "<u4")] = np.frombuffer(part["n"], "<u4")
