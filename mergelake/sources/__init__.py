@@ -1 +1 @@
-
+"""Scans and exports."""
