@@ -59,7 +59,7 @@ def measure(text: str | None) -> tuple[int, int, int, int, int, list[int], list[
     return len(words), chars, sum(text.count(c) for c in SYMBOLS), repeated, repeated_words(words), list(lines), list(lines.values())
 
 
-def rate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least_docs: int = 25, share: float = 0.01, left_share: float = 0.3) -> DataFrame:
+def rate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least_docs: int = 25, share: float = 0.01, left_share: float = 0.5) -> DataFrame:
     """Id, ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``, ``base_failed``, ``left_words``, ``kept``.
 
     ``base_failed``: under 50 words, or over half of them in repeated windows of three. A line (lower-cased, blanks
