@@ -46,9 +46,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those that are like no language learned here."""
     prototypes = langid.fit_prototypes(docs.where(crc32_remainder(F.col("doc_id"), 5) != 0))
-    rows = _numbered(docs)
-    found = langid.identify(rows, prototypes, id_col="_row").where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
-    return rows.join(found.select("_row"), "_row", "left_semi").select(docs.columns)
+    return langid.keep_identified(docs, prototypes, LEAST_LANGUAGE_SCORE)
 
 
 @_staged

@@ -157,13 +157,36 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "
     Null, empty and letterless texts are ``und`` with score 0, as is everything when there is no prototype. Of equal
     cosines the alphabetically first language is taken. Only the text is looked at; null and repeated ids pass through.
     """
-    langs = sorted(prototypes)
-    known = np.array([prototypes[x] for x in langs], np.float32).reshape(len(langs), dimensions)
     schema = T.StructType([field(docs, id_col), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    predict = _predictor(prototypes, dimensions, order, seed)
 
     def run(batch: pa.RecordBatch) -> dict:
+        names, scores = predict(batch.column(1).to_pylist())
+        return {id_col: batch.column(0), "lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())}
+
+    return map_arrow(docs.select(id_col, text_col), run, schema)
+
+
+def keep_identified(docs: DataFrame, prototypes: dict[str, np.ndarray], least_score: float, text_col: str = "text", dimensions: int = DIMENSIONS, order: int = ORDER, seed: int = 42) -> DataFrame:
+    """The rows of ``docs``, whole and unshuffled, that have a language with at least ``least_score``."""
+    predict = _predictor(prototypes, dimensions, order, seed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, scores = predict(batch.column(text_col).to_pylist())
+            yield batch.filter(pa.array([n != UNKNOWN and s >= least_score for n, s in zip(names, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _predictor(prototypes: dict[str, np.ndarray], dimensions: int, order: int, seed: int):
+    """From a list of texts to their languages and scores."""
+    langs = sorted(prototypes)
+    known = np.array([prototypes[x] for x in langs], np.float32).reshape(len(langs), dimensions)
+
+    def predict(texts: list[str | None]) -> tuple[list[str], list[float]]:
         made, names, scores = vectors(dimensions, order, seed), [], []
-        for text in batch.column(1).to_pylist():
+        for text in texts:
             codes, counts = ngrams(text, order)
             profile = made.bundle(codes, counts.astype(np.float32)) if len(codes) and langs else None
             if profile is None or not profile.any():
@@ -174,9 +197,9 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "
             best = int(np.argmax(cosines))
             names.append(langs[best])
             scores.append(min(1.0, max(0.0, float(cosines[best]))))
-        return {id_col: batch.column(0), "lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())}
+        return names, scores
 
-    return map_arrow(docs.select(id_col, text_col), run, schema)
+    return predict
 
 
 def held_out_fold(id_col: str = "doc_id", folds: int = 5):

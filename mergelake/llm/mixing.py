@@ -92,10 +92,11 @@ def balance(histogram: DataFrame, targets: DataFrame, most: float = 3.0, toleran
     return state
 
 
-def copies_of(sizes: np.ndarray, rates: np.ndarray) -> np.ndarray:
+def copies_of(sizes: np.ndarray, rates: np.ndarray, most: int = 3) -> np.ndarray:
     """Whole copies, each rate rounded up or down so that the running total stays at the running expectation.
 
-    Sizes must fall, so that what large documents leave over is made good by small ones.
+    Sizes must fall, so that what large documents leave over is made good by small ones. What one very large
+    document leaves over beyond that is made good by whole copies of others, largest first.
     """
     floor = np.floor(rates + 1e-12).astype(np.int64)
     copies, carry = floor.copy(), 0.0
@@ -106,6 +107,12 @@ def copies_of(sizes: np.ndarray, rates: np.ndarray) -> np.ndarray:
             if carry >= size / 2:
                 copies[i] = low + 1
                 carry -= size
+    for i, size in enumerate(sizes.tolist()):
+        if size and abs(carry) >= size / 2 and 0 < rates[i] < most:
+            step = int(np.clip(round(carry / size), -copies[i], most - copies[i]))
+            if abs(carry - step * size) < abs(carry):
+                copies[i] += step
+                carry -= step * size
     return copies
 
 
@@ -132,7 +139,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     def rounder(table: pa.Table) -> pa.Table:
         table = table.sort_by([("size", "descending"), (id_field.name, "ascending")])
-        copies = copies_of(table["size"].to_numpy(), table["rate"].to_numpy())
+        copies = copies_of(table["size"].to_numpy(), table["rate"].to_numpy(), most)
         return table.select([f.name for f in out.fields[:-1]]).append_column("copies", pa.array(copies))
 
     kept = dealt.select(id_col, "size", "source_size", "target", "rate", "mix_source", "bucket")
