@@ -212,6 +212,8 @@ class Table:
             if operators and not info.keys:
                 raise TableError("merge operators need a table with keys")
             return raw.select(*[F.col(f"`{f.name}`") if f.name not in info.ranges else back[info.ranges.index(f.name)] for f in struct.fields], *([F.col("_metadata.file_path").alias("_file")] if with_file else []))
+        if not operators and (split := self._base_and_deltas(snapshots, files)):
+            return self._over_base(snapshots, *split, buckets)
         place = self._places(files)
         seq = F.shiftleft(place.cast("long"), 40).bitwiseOR(F.col("_metadata.row_index"))
         rows = raw.select(*[F.col(f"`{f.name}`") for f in data.fields], *back, F.col("commit").alias(merging.FILE), seq.alias(merging.SEQ))
@@ -220,6 +222,28 @@ class Table:
             raise TableError(f"merge operators for columns that are keys or not there: {', '.join(sorted(unknown))}")
         return merging.merged(rows, [*info.ranges, *info.keys], columns).select(*[f"`{f.name}`" for f in struct.fields])
 
+    def _base_and_deltas(self, snapshots: dict[str, list[str]], files: list[tuple[str, int, L.DataFile]]) -> tuple[dict[str, list[str]], dict[str, list[str]]] | None:
+        """Snapshots as compacted bases and what was upserted since, if there is such a base in every partition and the upserts have all columns."""
+        if any(not ids or self.log.commit(p, ids[0]).op != L.COMPACTION for p, ids in snapshots.items()):
+            return None
+        if any(f.op == "del" for p, ids in snapshots.items() for c in ids for f in self.log.commit(p, c).files):
+            return None
+        names = set(self.schema.fieldNames()) - set(self.info.ranges)
+        if any(place and not names <= set(f.columns) for _, place, f in files):
+            return None
+        return {p: ids[:1] for p, ids in snapshots.items()}, {p: ids[1:] for p, ids in snapshots.items() if ids[1:]}
+
+    def _over_base(self, snapshots: dict[str, list[str]], bases: dict[str, list[str]], deltas: dict[str, list[str]], buckets: set[int] | None) -> DataFrame:
+        """Upserts merged by themselves, and the base's rows whose key they have not: the base is not aggregated, and not
+        shuffled either where Spark finds the upserts small enough to broadcast."""
+        on = [*self.info.ranges, *self.info.keys]
+        base, delta = self._load(bases, buckets=buckets), self._load(deltas, buckets=buckets)
+        match = None
+        for c in on:
+            same = base[c].eqNullSafe(F.col(f"d.`{c}`")) if c in self.info.ranges else base[c] == F.col(f"d.`{c}`")
+            match = same if match is None else match & same
+        return base.join(delta.select(*on).alias("d"), match, "left_anti").unionByName(delta)
+
     def _compacted(self, partition: str, ids: list[str]) -> bool:
         return len(ids) <= 1 and all(self.log.commit(partition, i).op == L.COMPACTION for i in ids)
 

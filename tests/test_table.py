@@ -306,3 +306,18 @@ def test_functions(spark):
     assert VectorConfig.parse("v:8:16, w:4")[0].nlist == 16
     with pytest.raises(ValueError):
         VectorConfig.parse("v")
+
+
+def test_upserts_over_a_compacted_base(spark, keyed):
+    keyed.compact()
+    keyed.upsert(spark.createDataFrame([(20201101, 1, 10), (20201101, 1, 11), (20201103, 7, 7)], SCHEMA).coalesce(1))
+    df = keyed.read()
+    assert "LeftAnti" not in df._jdf.queryExecution().toString()  # a partition without a base: merged as a whole
+    assert rows(df) == [(20201101, 1, 11), (20201101, 2, 2), (20201101, 3, 3), (20201102, 4, 4), (20201103, 7, 7)]
+    keyed.compact()
+    keyed.upsert(spark.createDataFrame([(20201101, 1, 12), (20201102, 9, 9)], SCHEMA))
+    df = keyed.read()
+    assert "LeftAnti" in df._jdf.queryExecution().toString()
+    assert rows(df) == [(20201101, 1, 12), (20201101, 2, 2), (20201101, 3, 3), (20201102, 4, 4), (20201102, 9, 9), (20201103, 7, 7)]
+    keyed.upsert(spark.createDataFrame([(20201101, 2)], "range int, hash int"))  # lacks a column
+    assert (20201101, 2, 2) in rows(keyed.read())
