@@ -33,7 +33,7 @@ SIGNS = {"@": "a", "$": "s", "!": "i", "|": "i", "€": "e"}
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "stupid mistake", "scum line", "pond scum")
 
 #: Labelled documents from which the lexicon is learned at most.
-SAMPLE = 50_000
+SAMPLE = 20_000
 #: Length of word beginnings.
 BEGINNINGS = range(4, 9)
 _not_letters = re.compile(r"[\W\d_]+")
@@ -141,12 +141,17 @@ def choose(counts: dict[str, tuple[int, int]], toxic: int, clean: int, word_shar
     return chosen
 
 
-def fit(docs: DataFrame, text_col: str = "text", label_col: str = "toxic", key_col: str = "doc_id", sample: int = SAMPLE) -> Lexicon:
-    """Learns from at most ``sample`` rows of ``docs`` (texts with 0/1 labels), those with the smallest hashes of their key.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Lexicon:
+    """Learns from at most ``sample`` labelled documents (labels 0 and 1), those whose ids have the smallest hashes.
 
-    What comes to the driver is bounded by the sample: entries that enough of its toxic rows have, and two numbers a row.
+    The sample of ids is drawn from the labels alone and is the only thing broadcast, so its size has a proven bound and
+    texts outside it are never shuffled; of documents with the same id one text is taken. What comes to the driver
+    is bounded by the sample too: entries that enough of its toxic documents have, and two numbers for each.
     """
-    rows = materialise(docs.where(F.col(label_col).isin(0, 1)).select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"), F.xxhash64(key_col).alias("draw")).orderBy("draw").limit(sample), "labelled")
+    wanted = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
+    drawn = materialise(wanted.orderBy(F.xxhash64("id"), "id", "label").limit(sample), "drawn")
+    texts = docs.select(F.col(id_col).alias("own"), F.col(text_col).alias("text"))
+    rows = materialise(texts.join(F.broadcast(drawn), F.col("own") == F.col("id")).groupBy("id", "label").agg(F.min("text").alias("text")).select("text", "label"), "labelled")
     toxic, clean = (int(x or 0) for x in rows.agg(F.sum("label"), F.sum(1 - F.col("label"))).first())
     if not toxic or not clean:
         return Lexicon({}, (-4.0 if not toxic else 4.0, 0.0, 0.0))
@@ -159,7 +164,7 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "toxic", key_c
                 counts.setdefault(entry, [0, 0])[1 - label] += 1
         return {"entry": pa.array(list(counts), pa.string()), "toxic": pa.array([x[0] for x in counts.values()], pa.int64()), "clean": pa.array([x[1] for x in counts.values()], pa.int64())}
 
-    each = map_arrow(rows.select("text", "label").repartition(rows.sparkSession.sparkContext.defaultParallelism), run, schema)
+    each = map_arrow(rows.select("text", "label"), run, schema)
     summed = each.groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     counted = summed.where(F.col("toxic") >= max(3.0, 0.004 * toxic)).where(F.col("toxic") * clean > F.col("clean") * toxic * 2).collect()
     weights = choose({r["entry"]: (r["toxic"], r["clean"]) for r in counted}, toxic, clean)
@@ -212,6 +217,5 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
 
 def score_held_out(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held: int = 1, sample: int = SAMPLE) -> DataFrame:
     """Learns from labelled rows outside the held-out fold (crc32 of the id's text modulo ``folds`` is ``held``) and scores every row."""
-    own = labels.where(crc32_remainder(F.col(id_col), folds) != held).select(id_col, label_col)
-    lexicon = fit(docs.select(id_col, text_col).join(own, id_col), text_col, label_col, id_col, sample)
+    lexicon = fit(docs, labels.where(crc32_remainder(F.col(id_col), folds) != held), id_col, text_col, label_col, sample)
     return score(docs, lexicon, id_col, text_col).withColumn("held_out", F.coalesce(crc32_remainder(F.col(id_col), folds) == held, F.lit(False)))
