@@ -33,32 +33,27 @@ def known() -> list[str]:
 def merged(df: DataFrame, keys: list[str], columns: dict[str, tuple[str, T.DataType, Column | None]]) -> DataFrame:
     """One row for each key. ``columns``: name to (operator, type, condition under which a row has the column or None).
 
-    Columns whose last value wins in every row travel as one struct; ``max_by`` ignores rows that lack the column.
+    Where the last row wins whole, it is the first of its key in a window; else each column has an aggregate of its
+    own, and ``max_by`` ignores rows that lack the column. Either way a column that nobody reads is not scanned.
     """
-    plain = [n for n, (op, _, has) in columns.items() if op == "use_last" and has is None]
-    special = [n for n in columns if n not in plain]
-    per_file = [n for n in special if columns[n][0] in _last_of_file]
-    if per_file:  # of each file only the last row counts for these
-        last = F.row_number().over(Window.partitionBy(*keys, FILE).orderBy(F.desc(SEQ))) == 1
-        df = df.withColumn("_last", last)
+    if all(op == "use_last" and has is None for op, _, has in columns.values()):
+        last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(SEQ)))
+        return df.withColumn("_place", last).where("_place = 1").select(*keys, *[f"`{n}`" for n in columns])
+    if per_file := [n for n in columns if columns[n][0] in _last_of_file]:  # of each file only the last row counts for these
+        newest = F.row_number().over(Window.partitionBy(*keys, FILE).orderBy(F.desc(SEQ)))
+        df = df.withColumn("_last", newest == 1)
     aggregates = []
-    if plain:
-        aggregates.append(F.max_by(F.struct(*[F.col(f"`{n}`") for n in plain]), F.col(SEQ)).alias("_plain"))
-    for name in special:
-        op, kind, has = columns[name]
+    for name, (op, kind, has) in columns.items():
         value, seq = F.col(f"`{name}`"), F.col(SEQ)
         if op == "use_last":
-            aggregates.append(F.max_by(value, F.when(has, seq)).alias(name))
+            aggregates.append(F.max_by(value, seq if has is None else F.when(has, seq)).alias(name))
             continue
         here = F.lit(True) if has is None else has
         if name in per_file:
             here = here & F.col("_last")
         # Rows that lack the column, or do not count, take no part: they are filtered per aggregate.
         aggregates.append(_filtered(op, value, seq, kind, here).alias(name))
-    if not aggregates:
-        return df.select(*keys).distinct()
-    out = df.groupBy(*keys).agg(*aggregates)
-    return out.select(*keys, *[(F.col("_plain")[n] if n in plain else F.col(f"`{n}`")).alias(n) for n in columns])
+    return df.groupBy(*keys).agg(*aggregates).select(*keys, *[f"`{n}`" for n in columns])
 
 
 def _filtered(op: str, value: Column, seq: Column, kind: T.DataType, here: Column) -> Column:

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mergelake.sources.store import scratch_folder
 from mergelake.table import Table
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -47,15 +44,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def workspace(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, or on one machine without it a temporary one, removed at exit."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return f"{named.rstrip('/')}/mergelake-tables-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="mergelake-tables-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    return own
+    """A new folder for a query's tables."""
+    return scratch_folder(spark, "tables")
 
 
 def table(spark: SparkSession, like: DataFrame, **how) -> Table:

@@ -2,15 +2,49 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import os
 import shutil
+import tempfile
+import uuid
 from typing import Any
 from urllib.parse import urlsplit
 
 from pyspark.sql import SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir; on one machine without it a temporary one."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    own = f"file://{tempfile.mkdtemp(prefix='mergelake-')}"
+    spark.conf.set("spark.checkpoint.dir", own)
+    atexit.register(shutil.rmtree, own.removeprefix("file://"), ignore_errors=True)
+    return own
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new name in the shared folder. What is there when this process ends is removed, as far as it can be reached."""
+    path = f"{shared_folder(spark)}/mergelake-{name}-{uuid.uuid4().hex}"
+
+    def clean() -> None:
+        if urlsplit(path).scheme in ("", "file"):
+            shutil.rmtree(urlsplit(path).path, ignore_errors=True)
+        elif spark.sparkContext._jsc is not None:
+            remove(spark, path)
+
+    atexit.register(clean)
+    return path
+
+
 class Store:
     """Paths are relative to ``root``. Only the driver uses it, and only for metadata."""
 
