@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,30 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from mergelake.sources.store import remove, scratch_folder
+
 #: A word: everything but the six ASCII white-space characters. ``bytes.split()`` cuts at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
 
 _scopes: list[list[tuple[SparkSession, str]]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset (one machine, as in tests) a temporary folder is made, set and removed at exit.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="mergelake-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/mergelake-{name}-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, name)
     if _scopes:
         _scopes[-1].append((spark, path))
     return path
@@ -65,8 +47,7 @@ def scratch_scope() -> Iterator[list[tuple[SparkSession, str]]]:
 def release(made: list[tuple[SparkSession, str]]) -> None:
     while made:
         spark, path = made.pop()
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        remove(spark, path)
 
 
 def arrow_type(kind: T.DataType) -> pa.DataType:
