@@ -26,6 +26,8 @@ WIDTHS = (13, 13, 13, 13, 12)
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 #: Members of one key that are compared at once.
 BLOCK = 2048
+#: Own fingerprints of a key from which its members are dealt out over pairs of chunks of half that size.
+HOT = 8192
 
 
 def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
@@ -61,8 +63,8 @@ def _starts(widths: tuple[int, ...]) -> list[int]:
     return np.concatenate([[0], np.cumsum(widths)[:-1]]).tolist()
 
 
-def _keyed(nodes: DataFrame, widths: tuple[int, ...]) -> DataFrame:
-    """(key, bits, home): for each segment the key of the node's own two segments, and those with one zero bit of the second set."""
+def _keyed(nodes: DataFrame, widths: tuple[int, ...], flipped: bool = True) -> DataFrame:
+    """(key, bits): for each segment the key of the node's own two segments, and, if ``flipped``, those with one zero bit of the second set."""
     starts, rings = _starts(widths), len(widths)
 
     def segment(i: int):
@@ -74,7 +76,7 @@ def _keyed(nodes: DataFrame, widths: tuple[int, ...]) -> DataFrame:
         base = F.shiftleft(segment(i), 16).bitwiseOR(F.shiftleft(F.lit(i).cast("long"), 32))
         own = base.bitwiseOR(segment(i + 1))
         flips = [F.when(segment(i + 1).bitwiseAND(F.lit(1 << b)) == 0, base.bitwiseOR(segment(i + 1)).bitwiseOR(F.lit(1 << b))) for b in range(width)]
-        parts.append(F.array(own, *flips))
+        parts.append(F.array(own, *(flips if flipped else [])))
     each = F.explode(F.array_compact(F.flatten(F.array(*parts))))
     return nodes.select(each.alias("key"), "bits")
 
@@ -120,11 +122,11 @@ def _linker(budget: int, widths: tuple[int, ...]):
     """Of rows sorted by key: edges between fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = np.empty(0, np.int64)
+        keys, pairs_at = np.empty(0, np.int64), np.empty(0, np.int64)
         bits = np.empty(0, np.uint64)
 
-        def edges(keys: np.ndarray, bits: np.ndarray) -> pa.RecordBatch | None:
-            begins = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        def edges(keys: np.ndarray, pairs_at: np.ndarray, bits: np.ndarray) -> pa.RecordBatch | None:
+            begins = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (pairs_at[1:] != pairs_at[:-1])]))
             ends = np.append(begins[1:], len(keys))
             found = []
             for a, b in zip(begins[ends - begins > 1].tolist(), ends[ends - begins > 1].tolist(), strict=True):
@@ -137,25 +139,39 @@ def _linker(budget: int, widths: tuple[int, ...]):
 
         for batch in batches:
             keys = np.concatenate([keys, batch.column(0).to_numpy()])
-            bits = np.concatenate([bits, batch.column(1).to_numpy().view(np.uint64)])
-            if len(keys) and keys[0] != keys[-1]:
-                cut = int(np.searchsorted(keys, keys[-1]))
-                if (out := edges(keys[:cut], bits[:cut])) is not None:
+            pairs_at = np.concatenate([pairs_at, batch.column(1).to_numpy()])
+            bits = np.concatenate([bits, batch.column(2).to_numpy().view(np.uint64)])
+            changes = np.flatnonzero((keys[1:] != keys[:-1]) | (pairs_at[1:] != pairs_at[:-1]))
+            if len(changes):
+                cut = int(changes[-1]) + 1
+                if (out := edges(keys[:cut], pairs_at[:cut], bits[:cut])) is not None:
                     yield out
-                keys, bits = keys[cut:], bits[cut:]
-        if len(keys) and (out := edges(keys, bits)) is not None:
+                keys, pairs_at, bits = keys[cut:], pairs_at[cut:], bits[cut:]
+        if len(keys) and (out := edges(keys, pairs_at, bits)) is not None:
             yield out
 
     return run
 
 
-def links(nodes: DataFrame, budget: int = 4, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
-    """Edges (a < b) that connect all ``nodes`` (distinct ``bits``) within ``budget`` bits of each other."""
+def links(nodes: DataFrame, budget: int = 4, widths: tuple[int, ...] = WIDTHS, hot: int = HOT) -> DataFrame:
+    """Edges (a < b) that connect all ``nodes`` (distinct ``bits``) within ``budget`` bits of each other.
+
+    A key with more than ``hot`` own fingerprints is split: its members are dealt to chunks, and each pair of chunks is
+    a task's work of bounded memory, so that no link is lost and no task holds the whole key.
+    """
     if len(widths) != budget + 1 or sum(widths) != 64 or max(widths) > 16:
         raise ValueError("expected budget + 1 segments of at most 16 bits that make 64")
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-    keyed = _keyed(nodes, widths).repartition("key").sortWithinPartitions("key")
-    return keyed.mapInArrow(_linker(budget, widths), schema).distinct()
+    own = _keyed(nodes, widths, flipped=False).groupBy("key").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > hot)
+    large = materialise(own.select("key", F.ceil(F.col("members") / F.lit(max(1, hot // 2))).alias("chunks")), "hot_keys")
+    keyed = _keyed(nodes, widths)
+    if large.isEmpty():
+        dealt = keyed.select("key", F.lit(0).cast("long").alias("pair"), "bits")
+    else:
+        chunk = F.pmod(F.xxhash64("bits"), F.col("chunks"))
+        pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda j: F.least(j, chunk) * F.col("chunks") + F.greatest(j, chunk))
+        dealt = keyed.join(large, "key", "left").select("key", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)).alias("pair"), "bits")
+    return dealt.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(_linker(budget, widths), schema).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

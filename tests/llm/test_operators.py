@@ -412,7 +412,8 @@ def test_simhash(docs, texts):
         assert (r["fingerprint"], r["component_id"]) == (f"{prints[r['doc_id']]:016x}", want[r["doc_id"]])
 
 
-def test_pigeonring_loses_no_link(spark):
+@pytest.mark.parametrize("hot", [simhash.HOT, 8])
+def test_pigeonring_loses_no_link(spark, hot):
     """Chains of fingerprints at all distances around the budget, and a dense ball, link as brute force has it."""
     r = random.Random(9)
     values = {r.getrandbits(64) for _ in range(60)}
@@ -425,7 +426,7 @@ def test_pigeonring_loses_no_link(spark):
     values |= {middle ^ (1 << a) ^ (1 << b) for a in range(24) for b in range(24)}
     want = plain_components({v: v for v in values})
     signed = [(v - (1 << 64) if v >= 1 << 63 else v,) for v in values]
-    edges = [(a & (1 << 64) - 1, b & (1 << 64) - 1) for a, b in simhash.links(spark.createDataFrame(signed, "bits long")).collect()]
+    edges = [(a & (1 << 64) - 1, b & (1 << 64) - 1) for a, b in simhash.links(spark.createDataFrame(signed, "bits long"), hot=hot).collect()]
     assert all((a ^ b).bit_count() <= 4 for a, b in edges)
     parent = {v: v for v in values}
 
