@@ -38,7 +38,7 @@ def repeated_words(words: list[bytes], window: int = 3) -> int:
 
 def line_hash(line: str) -> int:
     """Of the line lower-cased, with blanks run together, as a signed 64-bit integer."""
-    return xxhash.xxh64_intdigest(_blanks.sub(" ", line.lower()).strip().encode(), 42) - (1 << 63)
+    return xxhash.xxh64_intdigest(_blanks.sub(" ", line.lower()).strip(" ").encode(), 42) - (1 << 63)
 
 
 def measure(text: str | None) -> tuple[int, int, int, int, int, list[int], list[int]]:
@@ -98,3 +98,26 @@ def rate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_c
     left = F.col("n_words") - F.coalesce("gone", F.lit(0))
     out = measured.drop("lines", "line_words", "text_key", "host").join(gone, "row", "left").withColumns({"base_failed": base_failed, "left_words": left})
     return out.select(id_col, *counts, "base_failed", "left_words", (~F.col("base_failed") & (F.col("left_words") >= left_share * F.col("n_words"))).alias("kept"))
+
+
+def oracle_sql(least_docs: int = 25, share: float = 0.01, left_share: float = 0.5) -> str:
+    """The same rules in DuckDB's SQL over ``documents``."""
+    words = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+    return rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT rid, unnest({words.format("t")}) AS word, generate_subscripts({words.format("t")}, 1) AS i FROM d),
+        g AS (SELECT rid, i, [word, lead(word, 1) OVER o, lead(word, 2) OVER o] AS gram, lead(word, 2) OVER o AS third FROM w WINDOW o AS (PARTITION BY rid ORDER BY i)),
+        r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS c FROM g WHERE third IS NOT NULL) WHERE c > 1),
+        rw AS (SELECT rid, count(DISTINCT i + k) AS n FROM r, (VALUES (0), (1), (2)) v(k) GROUP BY rid),
+        l AS (SELECT rid, source, t, unnest(string_split(t, chr(10))) AS line FROM d),
+        lw AS (SELECT *, len({words.format("line")}) AS n, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM l),
+        ln AS (SELECT rid, count(*) - count(DISTINCT line) AS dups FROM lw WHERE n > 0 GROUP BY rid),
+        hosts AS (SELECT source, count(DISTINCT t) AS texts FROM d GROUP BY source),
+        seen AS (SELECT source, norm, count(DISTINCT t) AS docs FROM lw WHERE n > 0 GROUP BY source, norm),
+        above AS (SELECT s.source, s.norm FROM seen s JOIN hosts h ON s.source IS NOT DISTINCT FROM h.source WHERE docs > {least_docs} AND docs > {share} * texts),
+        gone AS (SELECT rid, sum(n) AS n FROM lw JOIN above a ON lw.norm = a.norm AND lw.source IS NOT DISTINCT FROM a.source GROUP BY rid),
+        c AS (SELECT d.doc_id, CAST(len({words.format("t")}) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+              CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(ln.dups, 0) AS BIGINT) AS n_dup_lines,
+              CAST(coalesce(rw.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS gone
+              FROM d LEFT JOIN rw USING (rid) LEFT JOIN ln USING (rid) LEFT JOIN gone USING (rid)),
+        b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_words - gone AS left_words FROM c)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, left_words, NOT base_failed AND left_words >= {left_share} * n_words AS kept FROM b"""

@@ -69,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.oracle_sql(), "op7_warc": warc.oracle_sql()}
+    return {"op1_license_scan": licenses.oracle_sql(), "op4_quality_rules": quality.oracle_sql(), "op7_warc": warc.oracle_sql()}

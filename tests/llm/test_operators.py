@@ -51,10 +51,10 @@ def ids_of(reference, text):
 # licence scans
 
 
-def test_license_sql(spark, sf_dir):
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_sql(spark, sf_dir, name):
     con = oracle.connect(sf_dir)
-    for name in ("op1_license_scan", "op7_warc"):
-        assert oracle.rows(queries()[name](spark, sf_dir).toPandas()) == oracle.rows(con.execute(oracle_sql()[name]).df())
+    assert oracle.rows(queries()[name](spark, sf_dir).toPandas()) == oracle.rows(con.execute(oracle_sql()[name]).df())
 
 
 def test_license_table_is_consistent():
