@@ -491,3 +491,13 @@ def catalog_views(spark: SparkSession, d: str) -> DataFrame:
     catalog.use("SALES")
     catalog.register_views()
     return spark.sql("SELECT n_regionkey, n_name FROM lake_nation WHERE n_regionkey = 1")
+
+
+@query(f"SELECT {ORDERS} FROM orders WHERE o_orderkey % 10 <> 0 UNION ALL {TENTH}")
+def format_scan(spark: SparkSession, d: str) -> DataFrame:
+    from mergelake.sources.datasource import TableSource
+
+    spark.dataSource.register(TableSource)
+    t = _orders(spark, d)
+    t.upsert(_tenth(read(spark, d, "orders")))
+    return spark.read.format("mergelake").load(t.path)

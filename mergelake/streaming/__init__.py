@@ -52,18 +52,7 @@ class ChangeReader:
             seen = self.offset.get(p, -1)
             if last is None or last.number <= seen:
                 continue
-            if seen < 0:
-                ids = list(last.snapshot)
-            else:
-                base = log.version(p, seen).snapshot
-                ids, known = [], set(base)
-                for v in log.since(p, seen):
-                    if v.op == "update":
-                        ids = []
-                        break
-                    fresh = v.snapshot[1:] if v.op == "compaction" else v.snapshot
-                    ids += [c for c in fresh if c not in known]
-                    known.update(v.snapshot)
+            ids = log.between(p, seen, last.number)
             new[p] = last.number
             if ids:
                 chosen[p] = ids

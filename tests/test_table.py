@@ -321,3 +321,24 @@ def test_upserts_over_a_compacted_base(spark, keyed):
     assert rows(df) == [(20201101, 1, 12), (20201101, 2, 2), (20201101, 3, 3), (20201102, 4, 4), (20201102, 9, 9), (20201103, 7, 7)]
     keyed.upsert(spark.createDataFrame([(20201101, 2)], "range int, hash int"))  # lacks a column
     assert (20201101, 2, 2) in rows(keyed.read())
+
+
+def test_format_by_path(spark, keyed, tmp_path):
+    from mergelake.sources.datasource import TableSource
+
+    spark.dataSource.register(TableSource)
+    keyed.upsert(spark.createDataFrame([(20201101, 1, 11), (20201101, 9, 9)], SCHEMA))
+    keyed.upsert(spark.createDataFrame([(20201101, 2)], "range int, hash int"))  # lacks value
+    assert rows(spark.read.format("mergelake").load(keyed.path)) == rows(keyed.read())
+
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+
+    def drain():
+        stream = spark.readStream.format("mergelake").load(keyed.path)
+        stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
+        return spark.read.parquet(out)
+
+    assert rows(drain()) == rows(keyed.read())
+    keyed.upsert(spark.createDataFrame([(20201102, 4, 44)], SCHEMA))
+    keyed.compact()
+    assert rows(drain().subtract(spark.createDataFrame([(20201102, 4, 4)], SCHEMA)).where("hash = 4")) == [(20201102, 4, 44)]
