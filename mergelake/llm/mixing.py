@@ -76,7 +76,8 @@ def balance(histogram: DataFrame, targets: DataFrame, most: float = 3.0, toleran
         sums = (
             histogram.join(there, histogram["mix_source"].eqNullSafe(there["own"]))
             .groupBy("own")
-            .agg(F.sum(F.col("docs") * F.col("size") * rate).alias("value"), F.sum(F.when(rate < most, F.col("docs") * F.col("size") * x * rate).otherwise(0.0)).alias("slope"))
+            # Rounded, so that the order in which tasks add up does not reach the multipliers: reruns agree.
+            .agg(F.round(F.sum(F.col("docs") * F.col("size") * rate), 4).alias("value"), F.round(F.sum(F.when(rate < most, F.col("docs") * F.col("size") * x * rate).otherwise(0.0)), 4).alias("slope"))
         )
         open_ = (F.col("target") > 0) & (F.col("target") < most * F.col("source_size"))
         gap = F.when(open_, F.abs(F.col("value") - F.col("target")) / F.col("target")).otherwise(0.0)
