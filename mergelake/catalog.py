@@ -8,6 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from mergelake import sql
 from mergelake.operators import log as L
 from mergelake.sources.store import Store
 from mergelake.table import Table, TableError
@@ -103,6 +104,10 @@ class Catalog:
         for t in self.list_tables(namespace):
             self.table(f"{namespace or self.current}.{t}").read().createOrReplaceTempView(t)
 
+    def sql(self, statement: str) -> DataFrame | None:
+        """Runs a statement over these tables, see :mod:`mergelake.sql`: rows for queries, SHOW and DESCRIBE, else None."""
+        return sql.execute(self, statement)
+
     def statistics(self) -> DataFrame:
         """Tables, partitions, files and bytes of each namespace."""
         rows = []

@@ -501,3 +501,23 @@ def format_scan(spark: SparkSession, d: str) -> DataFrame:
     t = _orders(spark, d)
     t.upsert(_tenth(read(spark, d, "orders")))
     return spark.read.format("mergelake").load(t.path)
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'M' WHEN o_custkey % 2 = 0 THEN 'E' ELSE o_orderstatus END AS o_orderstatus,
+          CASE WHEN o_orderkey % 4 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice, o_orderpriority FROM orders WHERE o_orderpriority <> '5-LOW' AND o_orderkey % 9 <> 0""")
+def sql_statements(spark: SparkSession, d: str) -> DataFrame:
+    """A keyed table made, updated, merged into, deleted from and read by SQL alone."""
+    lake = Catalog(spark, workspace(spark))
+    read(spark, d, "orders").createOrReplaceTempView("given_orders")
+    lake.sql("CREATE NAMESPACE shop")
+    lake.sql("USE shop")
+    lake.sql("""CREATE TABLE bought PARTITIONED BY (o_orderpriority) TBLPROPERTIES ('hashPartitions' = 'o_orderkey', 'hashBucketNum' = '4')
+                AS SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM given_orders""")
+    lake.sql("UPDATE bought b SET b.o_orderstatus = 'E' WHERE b.o_custkey % 2 = 0")
+    lake.sql("""MERGE INTO bought t USING (SELECT o_orderkey, o_orderpriority, 'M' AS o_orderstatus, o_totalprice * 2 AS o_totalprice FROM given_orders WHERE o_orderkey % 4 = 0) n
+                ON t.o_orderkey = n.o_orderkey AND t.o_orderpriority = n.o_orderpriority
+                WHEN MATCHED THEN UPDATE SET * WHEN NOT MATCHED THEN INSERT *""")
+    lake.sql("DELETE FROM bought WHERE o_orderkey % 9 = 0")
+    lake.sql("ALTER TABLE bought DROP PARTITION (o_orderpriority = '5-LOW')")
+    lake.sql("CALL compaction(table => 'shop.bought')")
+    return lake.sql("SELECT bought.o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM bought")
