@@ -9,6 +9,9 @@ one row, so there is nothing to shuffle and no group that could be large.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,7 +86,7 @@ RULES = (
     ("Unlicense", ("unlicense",)), ("All-rights-reserved", ("allRights",)),
 )
 
-#: Every known sentence holds one of these, so a text without them needs no cutting.
+#: Every known sentence holds one of these, so a text whose normal form is without them needs no cutting.
 TRIGGERS = ("licen", "copyright", "redistribut", "warranty", "the software", "hereby granted", "public domain", "rights reserved", "general public")
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -125,10 +128,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     Null, empty and unlicensed texts give empty strings and zeros. Repeated rows and ids are scanned each for itself;
     null ids stay null. Other columns are ignored.
     """
-    lowered = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER)
-    worth = F.lit(False)
-    for trigger in TRIGGERS:
-        worth = worth | F.contains(F.regexp_replace(lowered, r"\s+", " "), F.lit(trigger)) if " " in trigger else worth | F.contains(lowered, F.lit(trigger))
+    normal = F.regexp_replace(F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER), _OTHER, " ")
+    worth = F.exists(F.array(normal), lambda n: reduce(or_, [F.contains(n, F.lit(t)) for t in TRIGGERS]))
     none = F.array().cast("array<string>")
     rows = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("_text"), worth.alias("_worth"))
     cut = rows.select(

@@ -77,6 +77,13 @@ def test_license_cases(spark, odd):
     assert licenses.scan(odd.limit(0)).count() == 0
 
 
+def test_license_triggers_see_normal_forms(spark):
+    """Marks and comment signs inside a trigger do not hide it."""
+    cases = [(1, "All rights-reserved."), (2, "released into the public-domain"), (3, "# All rights\n# reserved"), (4, "This is free and unencumbered software released into the public-domain.")]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(spark.createDataFrame(cases, "doc_id long, text string")).collect()}
+    assert got == {1: "All-rights-reserved", 2: "", 3: "All-rights-reserved", 4: "Unlicense"}
+
+
 # token counts
 
 
