@@ -10,6 +10,7 @@ one row, so there is nothing to shuffle and no group that could be large.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import chain, product
 from operator import or_
 
 from pyspark.sql import Column, DataFrame
@@ -64,7 +65,7 @@ SENTENCES = {
     "iscPermission": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",),
     "iscRef": ("licensed under the isc license", "isc license", "released under the isc license"),
     "ccByRef": ("licensed under cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license", "licensed under a creative commons attribution 4 0 international license", "licensed under the creative commons attribution license"),
-    "ccBySaRef": ("licensed under cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license", "licensed under cc by sa 3 0", "content is available under cc by sa 3 0 unless otherwise noted license"),
+    "ccBySaRef": ("licensed under cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license", "licensed under cc by sa 3 0", "content is available under cc by sa 3 0 unless otherwise noted", "content is available under cc by sa 3 0 unless otherwise noted license"),
     "ccByNcRef": ("licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
     "ccByNdRef": ("licensed under cc by nd 4 0", "this work is licensed under a creative commons attribution noderivatives 4 0 international license"),
     "ccByNcSaRef": ("licensed under cc by nc sa 4 0", "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license"),
@@ -72,10 +73,47 @@ SENTENCES = {
     "cc0Ref": ("licensed under cc0 1 0", "released under cc0 1 0 universal license", "this work is dedicated to the public domain under the cc0 license"),
     "unlicense": ("this is free and unencumbered software released into the public domain",),
     "allRights": ("all rights reserved",),
+    # What the cut leaves of sentences that run across a colon, a semicolon or a full stop: see PARTS.
+    "spdxIs": ("spdx license identifier",),
+    "licenseIs": ("license",),
+    "mitTag": ("mit",),
+    "apacheTag": ("apache 2 0",),
+    "gpl3Tag": ("gpl 3 0", "gpl 3 0 only", "gpl 3 0 or later"),
+    "gpl2Tag": ("gpl 2 0 only", "gpl 2 0 or later"),
+    "agplTag": ("agpl 3 0 only",),
+    "bsd3Tag": ("bsd 3 clause",),
+    "bsd2Tag": ("bsd 2 clause",),
+    "mplTag": ("mpl 2 0",),
+    "mplForm": ("this source code form is subject to the terms of the mozilla public license v",),
+    "mplVersion": ("2 0",),
+    "gplFree": ("this program is free software",),
+    "gplTerms": ("you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",),
+    "gplFreeTerms": ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",),
+    "gpl3Terms": ("you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",),
+    "gpl2Terms": ("you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",),
+    "gpl3Either": ("either version 3 of the license or at your option any later version",),
+    "gpl2Either": ("either version 2 of the license or at your option any later version",),
+    "gplHope": ("this program is distributed in the hope that it will be useful but without any warranty",),
+    "gplEven": ("without even the implied warranty of merchantability or fitness for a particular purpose",),
 }
 
+# The parts that may stand for an identifier, as the usual punctuation has its sentence cut.
+PARTS = {
+    "mitRef": (("spdxIs", "mitTag"), ("licenseIs", "mitTag")), "apacheRef": (("spdxIs", "apacheTag"), ("licenseIs", "apacheTag")), "gpl3Ref": (("spdxIs", "gpl3Tag"), ("licenseIs", "gpl3Tag")),
+    "gpl2Ref": (("spdxIs", "gpl2Tag"),), "agplRef": (("spdxIs", "agplTag"),), "bsd3Ref": (("spdxIs", "bsd3Tag"),), "bsd2Ref": (("spdxIs", "bsd2Tag"),), "mplRef": (("spdxIs", "mplTag"), ("mplForm", "mplVersion")),
+    "gpl3Free": (("gplFree", "gpl3Terms"), ("gplFree", "gplTerms", "gpl3Either"), ("gplFreeTerms", "gpl3Either")),
+    "gpl2Free": (("gplFree", "gpl2Terms"), ("gplFree", "gplTerms", "gpl2Either"), ("gplFreeTerms", "gpl2Either")),
+    "gplUseful": (("gplHope", "gplEven"),),
+}
+
+
+def _spelled(rules: tuple) -> tuple:
+    """Each rule, followed by the same rule with parts in place of identifiers."""
+    return tuple((name, tuple(chain.from_iterable(way))) for name, ids in rules for way in product(*[((x,), *PARTS.get(x, ())) for x in ids]))
+
+
 # Rules in the order in which they are tried: licence, then the sentence identifiers that follow each other.
-RULES = (
+RULES = _spelled((
     ("MIT", ("mitName", "mitPermission", "mitNotice", "asIsSoftware", "noLiability")), ("MIT", ("mitPermission", "mitNotice", "asIsSoftware", "noLiability")), ("MIT", ("mitPermission", "mitNotice")),
     ("Apache-2.0", ("apacheRef", "apacheUse", "apacheCopy", "apacheAsIs", "apacheSee")), ("Apache-2.0", ("apacheRef", "apacheUse", "apacheCopy")),
     ("GPL-3.0-or-later", ("gpl3Free", "gplUseful", "gplSee")), ("GPL-3.0-or-later", ("gpl3Free",)), ("GPL-2.0-or-later", ("gpl2Free", "gplUseful", "gplSee")), ("GPL-2.0-or-later", ("gpl2Free",)),
@@ -84,10 +122,10 @@ RULES = (
     ("BSD-3-Clause", ("bsd3Ref",)), ("BSD-2-Clause", ("bsd2Ref",)), ("BSD", ("bsdRef",)), ("MPL-2.0", ("mplRef",)), ("ISC", ("iscRef",)),
     ("CC-BY-NC-SA-4.0", ("ccByNcSaRef",)), ("CC-BY-NC-ND-4.0", ("ccByNcNdRef",)), ("CC-BY-NC-4.0", ("ccByNcRef",)), ("CC-BY-ND-4.0", ("ccByNdRef",)), ("CC-BY-SA", ("ccBySaRef",)), ("CC-BY-4.0", ("ccByRef",)), ("CC0-1.0", ("cc0Ref",)),
     ("Unlicense", ("unlicense",)), ("All-rights-reserved", ("allRights",)),
-)
+))
 
 #: Every known sentence holds one of these, so a text whose normal form is without them needs no cutting.
-TRIGGERS = ("licen", "copyright", "redistribut", "warranty", "the software", "hereby granted", "public domain", "rights reserved", "general public")
+TRIGGERS = ("licen", "copyright", "redistribut", "warranty", "the software", "hereby granted", "public domain", "rights reserved", "general public", "available under", "free software", "mit", "apache 2 0", "gpl", "bsd", "mpl", "2 0")
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -123,7 +161,8 @@ def _matched(sequence: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of ``docs``: id, ``sentence_ids`` (of the cut by lines, joined by blanks), ``licenses``
     (found by either cut, each once, in alphabetical order, joined by commas), ``n_licenses`` and ``n_unmatched``
-    (identifiers of the cut by lines that no rule takes).
+    (identifiers of the cut by lines that no rule takes). A part of a sentence, such as a line of ``MIT`` alone, is
+    an identifier too, but gives no licence without the part that goes before it.
 
     Null, empty and unlicensed texts give empty strings and zeros. Repeated rows and ids are scanned each for itself;
     null ids stay null. Other columns are ignored.

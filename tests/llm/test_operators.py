@@ -77,6 +77,41 @@ def test_license_cases(spark, odd):
     assert licenses.scan(odd.limit(0)).count() == 0
 
 
+GPL = "This program is free software{} you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation{} either version {} of the License, or\n(at your option) any later version.\n"
+USEFUL = "\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more details.\n"
+SPDX = {"MIT": "MIT", "Apache-2.0": "Apache-2.0", "GPL-3.0-only": "GPL-3.0", "GPL-3.0-or-later": "GPL-3.0", "GPL-2.0-only": "GPL-2.0", "GPL-2.0-or-later": "GPL-2.0", "AGPL-3.0-only": "AGPL-3.0", "BSD-3-Clause": "BSD-3-Clause", "BSD-2-Clause": "BSD-2-Clause", "MPL-2.0": "MPL-2.0"}
+
+
+def test_license_sentences_survive_cutting(spark):
+    """In their usual spelling sentences run across colons, semicolons and full stops."""
+    cases = [(f"// SPDX-License-Identifier: {x}\nint x;", y) for x, y in SPDX.items()] + [(f"License: {x}", y) for x, y in (("MIT", "MIT"), ("Apache 2.0", "Apache-2.0"), ("GPL-3.0", "GPL-3.0"))]
+    cases += [(GPL.format(*marks, v) + rest, f"GPL-{v}.0-or-later") for v in (2, 3) for marks in (":,", ";;", ";,", ",;", ",,") for rest in ("", USEFUL)]
+    cases += [("/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one. */", "MPL-2.0")]
+    cases += [("Content is available under CC BY-SA 3.0 unless otherwise noted.", "CC-BY-SA"), ("Er kam\nmit\nihr. Section\n2.0", "")]
+    rows = [(i, text) for i, (text, _) in enumerate(cases)]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(cases[i][0], r["licenses"]) for i, r in sorted(got.items())] == cases
+    lines = [(i, " ".join(text.split("\n"))) for i, text in rows[len(SPDX) + 3 : -3]]  # the notice unwrapped: its parts are all taken
+    assert licenses.scan(spark.createDataFrame(lines, "doc_id long, text string")).where("n_unmatched > 0").count() == 0
+
+
+def test_license_every_entry_survives_cutting(spark):
+    """Each known sentence, with the marks that usually stand in it, gives its licence or is cut into known parts."""
+    usual = [("spdx license identifier ", "spdx license identifier: "), (r"^license (?=mit|apache|gpl)", "license: "), ("free software you can", "free software; you can"), ("foundation either", "foundation; either"), ("any warranty without", "any warranty; without"), ("license v 2 0", "license, v. 2.0"), ("noted license", "noted. license"), ("mit license see the", "mit license. see the")]
+    every = [s for known in licenses.SENTENCES.values() for s in known]
+    spelled = []
+    for i, s in enumerate(every):
+        text = s
+        for plain, marked in usual:
+            text = re.sub(plain, marked, text)
+        if text != s:
+            spelled += [(2 * i, s), (2 * i + 1, text)]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(spelled, "doc_id long, text string")).collect()}
+    assert len(spelled) > 40
+    for n, text in spelled[1::2]:
+        assert got[n]["licenses"] == got[n - 1]["licenses"] and got[n]["sentence_ids"], text
+
+
 def test_license_triggers_see_normal_forms(spark):
     """Marks and comment signs inside a trigger do not hide it."""
     cases = [(1, "All rights-reserved."), (2, "released into the public-domain"), (3, "# All rights\n# reserved"), (4, "This is free and unencumbered software released into the public-domain.")]
