@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mergelake.llm import langid, mixing, packing, quality, simhash
+from mergelake.llm import langid, minhash, mixing, packing, quality
 from mergelake.llm.common import crc32_remainder, release, scratch_path, scratch_scope
 from mergelake.llm.queries import tokenizer_path
 
@@ -58,9 +58,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @_staged
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the first row stays."""
+    """Of each component of near-duplicates (five-word shingles, Jaccard similarity of 0.8 or more) the first row stays."""
     rows = _numbered(docs)
-    first = simhash.near_duplicates(rows, id_col="_row").where("_row = component_id").select("_row")
+    first = minhash.near_copies(rows, id_col="_row").where("_row = component_id").select("_row")
     return rows.join(first, "_row", "left_semi").select(docs.columns)
 
 

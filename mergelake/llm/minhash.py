@@ -1,0 +1,102 @@
+"""Near copies by the Jaccard similarity of word shingles: MinHash bands for candidates, then the exact similarity.
+
+Equal texts are one node. A node's shingles are hashed; the least values under many hash functions are dealt to
+bands, and nodes that share a band are candidates. First each band's nodes are compared with one of them; then all
+candidates that are still in different components. Every link is checked with the exact similarity.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from mergelake.llm.common import field, map_arrow, materialise
+from mergelake.llm.simhash import components
+
+#: Bands and least values in each: at a similarity of 0.8 a pair shares none of the bands with 0.59 ** 16, 2 in 10,000.
+BANDS, ROWS = 16, 4
+
+
+def _multipliers(n: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_hashes(text: str | None, words: int, seed: int) -> list[int]:
+    """XXH64 of each shingle of so many words, lower-cased (ASCII); of the whole of a shorter text; none without words."""
+    found = (text or "").encode().lower().split()
+    if not found:
+        return []
+    digest = xxhash.xxh64_intdigest
+    return [digest(b" ".join(found[i : i + words]), seed) for i in range(max(1, len(found) - words + 1))]
+
+
+def band_keys(hashes: np.ndarray, bands: int = BANDS, rows: int = ROWS, seed: int = 42) -> list[int]:
+    """A signed 64-bit key for each band; none for a text without words."""
+    if not len(hashes):
+        return []
+    by, least = _multipliers(bands * rows, seed), None
+    for a in range(0, len(hashes), 4096):
+        # the multiply's high bits, mixed once more, order the shingles anew for each function
+        mixed = hashes[a : a + 4096, None] * by
+        mixed ^= mixed >> np.uint64(32)
+        own = (mixed * np.uint64(0x9E3779B97F4A7C15)).min(axis=0)
+        least = own if least is None else np.minimum(least, own)
+    digest = xxhash.xxh64_intdigest
+    return [digest(part.tobytes(), i) - (1 << 63) for i, part in enumerate(least.reshape(bands, rows))]
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets have at least the similarity ``least``."""
+    left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    return pairs.join(left, "a").join(right, "b").where(both >= least * (F.size("x") + F.size("y") - both)).select("a", "b")
+
+
+def near_copies(docs: DataFrame, id_col: str, text_col: str = "text", words: int = 5, least: float = 0.8, bands: int = BANDS, rows: int = ROWS, seed: int = 42) -> DataFrame:
+    """Id and ``component_id`` (the smallest id reachable over pairs of similarity ``least``), a row for each row of ``docs``.
+
+    The similarity is Jaccard's, of the sets of ``words``-word shingles, lower-cased (ASCII); a shorter text is one
+    shingle. Null, empty and blank texts are equal texts. Ids must be unique and not null. Other columns are ignored.
+    """
+    id_field = field(docs, id_col)
+    schema = T.StructType([id_field, T.StructField("node", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    set_schema = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
+
+    def mark(batch: pa.RecordBatch) -> dict:
+        texts = batch.column(1).to_pylist()
+        nodes = [xxhash.xxh3_128_digest(b" ".join((t or "").encode().lower().split())) for t in texts]
+        keys = [band_keys(np.unique(np.array(shingle_hashes(t, words, seed), np.uint64)), bands, rows, seed) for t in texts]
+        return {id_col: batch.column(0), "node": pa.array(nodes, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64()))}
+
+    def shingled(batch: pa.RecordBatch) -> dict:
+        sets = [np.unique(np.array(shingle_hashes(t, words, seed), np.uint64)).view(np.int64) for t in batch.column(1).to_pylist()]
+        return {"node": batch.column(0), "shingles": pa.array(sets, pa.list_(pa.int64()))}
+
+    marked = materialise(map_arrow(docs.select(id_col, text_col), mark, schema), "marked")
+    nodes = materialise(marked.groupBy("node").agg(F.min(id_col).alias("least_id"), F.min("keys").alias("keys")), "nodes")
+    each = nodes.select(F.explode("keys").alias("key"), "node")
+    lead = each.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node"), "node"))["node"].alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # the nodes that share a band, and the texts of these alone
+    shared = materialise(each.join(lead, "key"), "shared")
+    texts = docs.select(F.col(id_col).alias("least_id"), F.col(text_col).alias("_text"))
+    members = shared.select("node").distinct().join(nodes.select("node", "least_id"), "node").join(texts, "least_id").select("node", "_text")
+    sets = materialise(map_arrow(members, shingled, set_schema), "shingles")
+
+    led = shared.where("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+    links = materialise(_alike(led, sets, least), "links")
+    roots = materialise(components(links), "roots")
+    placed = shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    open_keys = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    rest = materialise(placed.join(open_keys, "key", "left_semi"), "rest")
+    one, two = rest.select("key", F.col("node").alias("a"), F.col("root").alias("a_root")), rest.select("key", F.col("node").alias("b"), F.col("root").alias("b_root"))
+    apart = one.join(two, "key").where("a < b AND a_root <> b_root").select("a", "b").distinct().join(led, ["a", "b"], "left_anti")
+    found = materialise(components(links.unionAll(_alike(apart, sets, least))), "members")
+
+    named = nodes.select("node", "least_id").join(found, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
+    least_ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    classes = materialise(named.join(least_ids, "root").select("node", "component_id"), "classes")
+    return marked.join(classes, "node").select(id_col, "component_id")

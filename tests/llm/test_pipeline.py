@@ -49,6 +49,49 @@ def test_odd_rows(spark, sf_dir, tmp_path):
     assert last.count() >= 1
 
 
+def jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_of_four_fifths_go(spark, sf_dir, tmp_path):
+    """Copies with words changed in a few places, of similarity 0.8 to 0.9, are linked, also by way of others; those below stay."""
+    rows, near, below = [], set(), set()
+    for g in range(40):
+        words = [f"w{g}x{i}" for i in range(300)]
+        rows.append((len(rows), " ".join(words)))
+        for c in range(3):  # each changes other words; of two copies the similarity is below 0.8
+            copy = list(words)
+            for i in range(5 * (1 + c) + 1, 300, 60):
+                copy[i] = f"c{c}"
+            (near if jaccard(" ".join(words), " ".join(copy)) >= 0.8 else below).add(len(rows))
+            rows.append((len(rows), " ".join(copy)))
+        for i in range(2, 300, 30):
+            words[i] = "far"
+        assert jaccard(rows[-4][1], " ".join(words)) < 0.8
+        below.add(len(rows))
+        rows.append((len(rows), " ".join(words)))
+    assert len(near) == 120 and len(below) == 40
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/in")
+    kept = {r["doc_id"] for r in P.near_duplicates(spark, spark.read.parquet(f"{tmp_path}/in"), sf_dir).collect()}
+    assert below <= kept and len(kept) == 80
+    assert all(len({5 * g + c for c in range(4)} & kept) == 1 for g in range(40))
+
+
+def test_near_duplicates_against_all_pairs(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    shingles = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in texts.items() for w in [t.lower().split()]}
+    groups = {i: i for i in texts}
+    for a in texts:
+        for b in texts:
+            if a < b and groups[a] != groups[b] and len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b]):
+                old, new = max(groups[a], groups[b]), min(groups[a], groups[b])
+                groups = {i: new if r == old else r for i, r in groups.items()}
+    kept = P.near_duplicates(spark, docs, sf_dir).collect()
+    assert sorted(groups[r["doc_id"]] for r in kept) == sorted(set(groups.values()))
+
+
 def test_run(spark, sf_dir):
     assert P.run(spark, sf_dir).count() > 0
     assert "pipeline" not in queries() and [n for n, _ in P.STAGES] == ["language_id", "quality_rules", "near_duplicates", "mix_sources", "pack_sequences"]
