@@ -15,6 +15,9 @@ from mergelake.llm.queries import tokenizer_path
 #: Cosine with the best language prototype below which a document is taken for no language.
 LEAST_LANGUAGE_SCORE = 0.05
 
+#: A line of more than the operator's least number of texts is common whatever the size of its source: no share of it besides.
+COMMON_LINE_SHARE = 0.0
+
 _last: list = []
 
 
@@ -53,7 +56,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the base rules or are depleted of lines of their own."""
     rows = _numbered(docs)
-    return rows.join(quality.rate(rows, id_col="_row").where("kept").select("_row"), "_row", "left_semi").select(docs.columns)
+    return rows.join(quality.rate(rows, id_col="_row", share=COMMON_LINE_SHARE).where("kept").select("_row"), "_row", "left_semi").select(docs.columns)
 
 
 @_staged

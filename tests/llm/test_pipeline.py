@@ -92,6 +92,16 @@ def test_near_duplicates_against_all_pairs(spark, sf_dir, tmp_path):
     assert sorted(groups[r["doc_id"]] for r in kept) == sorted(set(groups.values()))
 
 
+def test_boilerplate_family_in_a_large_source(spark, sf_dir, tmp_path):
+    """Texts that share most of their lines go, whether or not their source has many other texts; those others stay."""
+    own = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    lines = "\n".join(" ".join(f"b{k}x{j}" for j in range(12)) for k in range(6))
+    rows = [(1000 * h + i, f"{lines}\n{own(1000 * h + i, 20)}", h) for h in (10, 11) for i in range(40)] + [(20_000 + i, own(20_000 + i, 60), 10) for i in range(5000)]
+    spark.createDataFrame([(i, t, "en", f"s{h}", len(t)) for i, t, h in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/in")
+    kept = {r["doc_id"] for r in P.quality_rules(spark, spark.read.parquet(f"{tmp_path}/in"), sf_dir).collect()}
+    assert kept == {20_000 + i for i in range(5000)}
+
+
 def test_run(spark, sf_dir):
     assert P.run(spark, sf_dir).count() > 0
     assert "pipeline" not in queries() and [n for n, _ in P.STAGES] == ["language_id", "quality_rules", "near_duplicates", "mix_sources", "pack_sequences"]
