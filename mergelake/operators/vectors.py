@@ -15,6 +15,11 @@ from mergelake.sources.store import Store
 SAMPLE = 20_000
 
 
+def _known(metric: str) -> None:
+    if metric not in ("L2", "InnerProduct"):
+        raise ValueError(f"unknown metric {metric}")
+
+
 @dataclass(frozen=True)
 class VectorConfig:
     """``column:dim[:nlist[:bits[:metric[:rotator[:seed[:faster]]]]]]``; rotator, bits and faster are accepted for old tables."""
@@ -28,6 +33,9 @@ class VectorConfig:
     seed: int = 42
     faster: bool = False
 
+    def __post_init__(self):
+        _known(self.metric)
+
     @classmethod
     def parse(cls, text: str) -> list[VectorConfig]:
         out = []
@@ -36,10 +44,7 @@ class VectorConfig:
             if len(parts) < 2 or len(parts) > 8:
                 raise ValueError(f"expected column:dim[:...], got {part}")
             kinds = (str, int, int, int, str, str, int, lambda v: v.lower() == "true")
-            made = cls(*[k(v) for k, v in zip(kinds, parts, strict=False)])
-            if made.metric not in ("L2", "InnerProduct", "Cosine"):
-                raise ValueError(f"unknown metric {made.metric}")
-            out.append(made)
+            out.append(cls(*[k(v) for k, v in zip(kinds, parts, strict=False)]))
         return out
 
 
@@ -48,7 +53,8 @@ def _literal(vector: list[float]) -> Column:
 
 
 def distance(column: Column | str, query: Column, metric: str) -> Column:
-    """Smaller is nearer for L2; for the products larger is nearer."""
+    """Smaller is nearer for L2; for the product larger is nearer."""
+    _known(metric)
     return squared_distance(column, query) if metric == "L2" else inner_product(column, query)
 
 

@@ -342,3 +342,15 @@ def test_format_by_path(spark, keyed, tmp_path):
     keyed.upsert(spark.createDataFrame([(20201102, 4, 44)], SCHEMA))
     keyed.compact()
     assert rows(drain().subtract(spark.createDataFrame([(20201102, 4, 4)], SCHEMA)).where("hash = 4")) == [(20201102, 4, 44)]
+
+
+def test_unknown_vector_metrics_are_rejected(spark):
+    """Cosine would rank by the raw product, which is wrong for vectors of unequal length."""
+    from mergelake.operators.vectors import exact_top_k
+
+    for made in (lambda: VectorConfig.parse("v:2:4:7:Cosine"), lambda: VectorConfig("v", 2, metric="Cosine")):
+        with pytest.raises(ValueError, match="Cosine"):
+            made()
+    with pytest.raises(ValueError, match="Cosine"):
+        exact_top_k(spark.createDataFrame([(1, [1.0, 0.0])], "id long, v array<double>"), "v", [1.0, 0.0], 1, "Cosine")
+    assert [c.metric for c in VectorConfig.parse("v:2:4:7:L2,w:2:4:7:InnerProduct")] == ["L2", "InnerProduct"]
