@@ -1,4 +1,4 @@
-"""Quality rules: per-document base rules, then lines that too many documents of a host share."""
+"""Quality rules: per-document base rules, then cross-document line frequency: lines that too many documents of a host share go."""
 
 from __future__ import annotations
 
@@ -59,48 +59,49 @@ def measure(text: str | None) -> tuple[int, int, int, int, int, list[int], list[
     return len(words), chars, sum(text.count(c) for c in SYMBOLS), repeated, repeated_words(words), list(lines), list(lines.values())
 
 
-def rate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least_docs: int = 25, share: float = 0.01, left_share: float = 0.5) -> DataFrame:
+#: Documents of a host that may share a line. Measured on the given tables: but for groups of copies and shared passages no line
+#: is in more than 10 documents of a host; passages are in 50 to 11,000, which makes no document of theirs lose half its words.
+LEAST_DOCS = 25
+
+
+def rate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least_docs: int = LEAST_DOCS, share: float = 0.0, left_share: float = 0.5) -> DataFrame:
     """Id, ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``, ``base_failed``, ``left_words``, ``kept``.
 
     ``base_failed``: under 50 words, or over half of them in repeated windows of three. A line (lower-cased, blanks
-    run together) is above the limit if more than ``least_docs`` different texts and more than ``share`` of all
-    different texts of the host have it; exact copies count once, so a group of copies does not condemn itself.
-    ``left_words`` are those outside such lines; a document with fewer than ``left_share`` of its words left is
-    depleted and not kept. A null host is a host of its own. Null, empty and blank texts have no words and fail.
-    Repeated rows and ids are measured each for itself; null ids stay null. Other columns are ignored.
+    run together) is above the limit if more than ``least_docs`` documents of the host have it, and more than ``share``
+    of all its documents; exact copies are documents like any other. ``left_words`` are those outside such lines; a
+    document with fewer than ``left_share`` of its words left is depleted and not kept. A null host is a host of its
+    own. Null, empty and blank texts have no words and fail. Very long texts are measured whole, and every one of their
+    lines counts. Repeated rows and ids are documents each for itself; null ids stay null. An empty table gives an empty
+    result. Other columns are ignored.
     """
-    id_field = field(docs, id_col)
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     schema = T.StructType([
-        id_field, field(docs, host_col, "host"), T.StructField("text_key", T.BinaryType()), *(T.StructField(n, T.LongType()) for n in counts),
+        field(docs, id_col, "id"), field(docs, host_col, "host"), *(T.StructField(n, T.LongType()) for n in counts),
         T.StructField("lines", T.ArrayType(T.LongType())), T.StructField("line_words", T.ArrayType(T.LongType())),
     ])
 
     def run(batch: pa.RecordBatch) -> dict:
-        texts = batch.column(2).to_pylist()
-        found = list(zip(*map(measure, texts), strict=True))
-        keys = pa.array([xxhash.xxh3_128_digest((t or "").encode()) for t in texts], pa.binary())
-        out = {id_field.name: batch.column(0), "host": batch.column(1), "text_key": keys} | {n: pa.array(found[i], pa.int64()) for i, n in enumerate(counts)}
+        found = list(zip(*map(measure, batch.column(2).to_pylist()), strict=True))
+        out = {"id": batch.column(0), "host": batch.column(1)} | {n: pa.array(found[i], pa.int64()) for i, n in enumerate(counts)}
         return out | {"lines": pa.array(found[5], pa.list_(pa.int64())), "line_words": pa.array(found[6], pa.list_(pa.int64()))}
 
     measured = materialise(map_arrow(docs.select(id_col, host_col, text_col), run, schema).withColumn("row", F.monotonically_increasing_id()), "quality")
-    hosts = measured.select("host", "text_key").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("texts"))
-    seen = measured.select("host", "text_key", F.explode("lines").alias("line")).distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs"))
-    above = (
-        seen.where(F.col("docs") > least_docs)
-        .join(hosts, seen["host"].eqNullSafe(hosts["host"]))
-        .where(F.col("docs") > share * F.col("texts"))
-        .select(seen["host"].alias("over_host"), F.col("line").alias("over_line"))
-    )
+    # a document's lines are distinct already, so documents are counted by counting rows, summed before they are shuffled
+    above = measured.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > least_docs)
+    if share > 0:
+        hosts = measured.groupBy(F.col("host").alias("own")).agg(F.count(F.lit(1)).alias("all_docs"))
+        above = above.join(hosts, F.col("host").eqNullSafe(F.col("own"))).where(F.col("docs") > share * F.col("all_docs"))
+    above = above.select(F.col("host").alias("over_host"), F.col("line").alias("over_line"))
     each = measured.select("row", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("row", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
     gone = each.join(above, (F.col("line") == F.col("over_line")) & F.col("host").eqNullSafe(F.col("over_host")), "left_semi").groupBy("row").agg(F.sum("words").alias("gone"))
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     left = F.col("n_words") - F.coalesce("gone", F.lit(0))
-    out = measured.drop("lines", "line_words", "text_key", "host").join(gone, "row", "left").withColumns({"base_failed": base_failed, "left_words": left})
-    return out.select(id_col, *counts, "base_failed", "left_words", (~F.col("base_failed") & (F.col("left_words") >= left_share * F.col("n_words"))).alias("kept"))
+    out = measured.drop("lines", "line_words", "host").join(gone, "row", "left").withColumns({"base_failed": base_failed, "left_words": left})
+    return out.select(F.col("id").alias(id_col), *counts, "base_failed", "left_words", (~F.col("base_failed") & (F.col("left_words") >= left_share * F.col("n_words"))).alias("kept"))
 
 
-def oracle_sql(least_docs: int = 25, share: float = 0.01, left_share: float = 0.5) -> str:
+def oracle_sql(least_docs: int = LEAST_DOCS, left_share: float = 0.5) -> str:
     """The same rules in DuckDB's SQL over ``documents``."""
     words = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
     return rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
@@ -111,9 +112,7 @@ def oracle_sql(least_docs: int = 25, share: float = 0.01, left_share: float = 0.
         l AS (SELECT rid, source, t, unnest(string_split(t, chr(10))) AS line FROM d),
         lw AS (SELECT *, len({words.format("line")}) AS n, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM l),
         ln AS (SELECT rid, count(*) - count(DISTINCT line) AS dups FROM lw WHERE n > 0 GROUP BY rid),
-        hosts AS (SELECT source, count(DISTINCT t) AS texts FROM d GROUP BY source),
-        seen AS (SELECT source, norm, count(DISTINCT t) AS docs FROM lw WHERE n > 0 GROUP BY source, norm),
-        above AS (SELECT s.source, s.norm FROM seen s JOIN hosts h ON s.source IS NOT DISTINCT FROM h.source WHERE docs > {least_docs} AND docs > {share} * texts),
+        above AS (SELECT source, norm FROM lw WHERE n > 0 GROUP BY source, norm HAVING count(DISTINCT rid) > {least_docs}),
         gone AS (SELECT rid, sum(n) AS n FROM lw JOIN above a ON lw.norm = a.norm AND lw.source IS NOT DISTINCT FROM a.source GROUP BY rid),
         c AS (SELECT d.doc_id, CAST(len({words.format("t")}) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
               CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(ln.dups, 0) AS BIGINT) AS n_dup_lines,
