@@ -36,12 +36,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 @contextlib.contextmanager
 def scratch_scope() -> Iterator[list[tuple[SparkSession, str]]]:
-    """Collects the scratch tables made inside; hand the list to :func:`release` once their readers are done."""
+    """Collects the scratch tables made inside; hand the list to :func:`release` once their readers are done.
+
+    What an inner scope has not released by then, the outer one also has.
+    """
     _scopes.append(made := [])
     try:
         yield made
     finally:
         _scopes.pop()
+        if _scopes:
+            _scopes[-1].extend(made)
 
 
 def release(made: list[tuple[SparkSession, str]]) -> None:

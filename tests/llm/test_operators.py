@@ -225,15 +225,20 @@ def test_quality_base(spark, docs, texts):
 
 
 def test_quality_lines(spark):
-    """A line in many documents of its host is removed there alone; documents of little else are rejected; copies are no evidence."""
+    """A line in many documents of its host is removed there alone; documents of little else are rejected, copies of each other too."""
     own = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
     banner = " ".join(f"b{j}" for j in range(60))
     rows = [(i, f"{own(i, 100)}\n  {banner.upper()}  ", "h") for i in range(40)] + [(100 + i, f"{banner}\n{own(100 + i, 20)}", "h") for i in range(5)]
     rows += [(200, f"{banner}\n{own(200, 20)}", "other"), (201, f"{banner}\n{own(201, 20)}", None)] + [(300 + i, own(300, 80), "copies") for i in range(60)]
+    rows += [(400 + i, own(400, 80), "few") for i in range(25)] + [(500 + i, own(500 + i, 80), "copies") for i in range(5000)]
     got = {r["doc_id"]: r for r in quality.rate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert all(got[i]["kept"] and got[i]["left_words"] == 100 for i in range(40))
     assert not any(got[100 + i]["kept"] for i in range(5)) and got[100]["left_words"] == 20
-    assert got[200]["kept"] and got[201]["kept"] and all(got[300 + i]["kept"] for i in range(60))
+    assert got[200]["kept"] and got[201]["kept"]
+    assert not any(got[300 + i]["kept"] for i in range(60))  # however many other documents their host has
+    assert all(got[400 + i]["kept"] for i in range(25)) and all(got[500 + i]["kept"] for i in range(5000))
+    share = {r["doc_id"]: r for r in quality.rate(spark.createDataFrame(rows, "doc_id long, text string, source string"), share=0.02).collect()}
+    assert all(share[300 + i]["kept"] for i in range(60)) and not any(share[100 + i]["kept"] for i in range(5))
 
 
 def test_quality_odd(odd):
@@ -554,3 +559,35 @@ def test_mixing_odd(odd):
     assert Counter((x["doc_id"], x["size"]) for x in got) == Counter((i, len((t or "").encode().split())) for i, t, *_ in ODD)
     assert all(0 <= x["taken"] <= 3 * x["size"] for x in got)
     assert mixing.mix(odd.limit(0)).count() == 0
+
+
+def test_mixing_hot_rows_and_reruns(spark):
+    """Null ids of one size, however many, are one entry; reruns agree whatever the partitions; sums of any size are exact."""
+    rows = [(None, "a b c d e", "s")] * 9000 + [(i, "w " * (1 + i % 50), "t") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    runs = [Counter(map(tuple, mixing.mix(df.repartition(n), together=50).collect())) for n in (3, 8)]
+    assert runs[0] == runs[1] and sum(runs[0].values()) == len(rows)
+    taken = sum(n * x[5] for x, n in runs[0].items() if x[0] is None)
+    target = next(x[3] for x in runs[0] if x[0] is None)
+    assert abs(taken - target) <= 5
+    big = spark.createDataFrame([("s", 10**9 + i, 10**6) for i in range(40)], "mix_source string, size long, docs long")
+    targets = spark.createDataFrame([("s", 4 * 10**16, 4 * 10**7, 10**16 + 0.5)], "mix_source string, source_size long, sized long, target double")
+    found = [mixing.balance(big.repartition(n), targets).first()["multiplier"] for n in (2, 7)]
+    assert found[0] == found[1]
+
+
+def test_mixing_places_sources_without_one_task(spark):
+    names = [None if i == 7 else f"s{i * 7919 % 1000:03d}é" for i in range(60)]
+    placed = mixing._placed(spark.createDataFrame([(n, 1) for n in names], "mix_source string, source_size long").repartition(9))
+    assert [r["mix_source"] for r in placed.orderBy("place").collect()] == sorted(names, key=lambda n: (n is None, n or ""))
+    assert [r["place"] for r in placed.orderBy("place").collect()] == list(range(60))
+
+
+def test_copies_of_entries_are_those_of_their_documents():
+    rng = np.random.default_rng(4)
+    sizes = np.sort(rng.integers(1, 60, 40))[::-1]
+    counts, rates = rng.integers(1, 9, 40), rng.uniform(0, 3, 40)
+    copies, more = mixing.copies_of(sizes, rates, 3, counts)
+    expected = float((sizes * rates * counts).sum())
+    assert abs(float((sizes * (copies * counts + more)).sum()) - expected) <= sizes.min() / 2 + 1
+    assert (copies >= 0).all() and (copies + (more > 0) <= 3).all() and (more < counts).all()
