@@ -59,8 +59,8 @@ def measure(text: str | None) -> tuple[int, int, int, int, int, list[int], list[
     return len(words), chars, sum(text.count(c) for c in SYMBOLS), repeated, repeated_words(words), list(lines), list(lines.values())
 
 
-#: Documents of a host that may share a line. Measured on the given tables: but for groups of copies and shared passages no line
-#: is in more than 10 documents of a host; passages are in 50 to 11,000, which makes no document of theirs lose half its words.
+#: Documents of a host that may share a line. Of the 2.2 million lines of hosts in the larger check table 98 % are in one
+#: document, and 1,192 in more than 25: shared passages, and the lines of groups of copies.
 LEAST_DOCS = 25
 
 
