@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,8 +26,10 @@ WIDTHS = (13, 13, 13, 13, 12)
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 #: Members of one key that are compared at once.
 BLOCK = 2048
-#: Own fingerprints of a key from which its members are dealt out over pairs of chunks of half that size.
+#: Members of a key, own or flipped, from which they are dealt out over pairs of chunks of half that size.
 HOT = 8192
+#: Sides of a comparison that a member is on: its own key's, the others', both.
+LEFT, RIGHT = 1, 2
 
 
 def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
@@ -63,31 +65,33 @@ def _starts(widths: tuple[int, ...]) -> list[int]:
     return np.concatenate([[0], np.cumsum(widths)[:-1]]).tolist()
 
 
-def _keyed(nodes: DataFrame, widths: tuple[int, ...], flipped: bool = True) -> DataFrame:
-    """(key, bits): for each segment the key of the node's own two segments, and, if ``flipped``, those with one zero bit of the second set."""
-    starts, rings = _starts(widths), len(widths)
+def _segment(i: int, widths: tuple[int, ...]):
+    return F.shiftrightunsigned("bits", _starts(widths)[i % len(widths)]).bitwiseAND(F.lit((1 << widths[i % len(widths)]) - 1))
 
-    def segment(i: int):
-        return F.shiftrightunsigned("bits", starts[i % rings]).bitwiseAND(F.lit((1 << widths[i % rings]) - 1))
 
+def _flips(key: Column, i: int, widths: tuple[int, ...]) -> list[Column]:
+    """The keys of ring segment ``i`` that differ from ``key`` in one zero bit of the second segment, set; null where the bit is set."""
+    return [F.when(key.bitwiseAND(F.lit(1 << b)) == 0, key.bitwiseOR(F.lit(1 << b))) for b in range(widths[(i + 1) % len(widths)])]
+
+
+def _own_keys(widths: tuple[int, ...]) -> list[Column]:
+    """For each ring segment its number, its bits and those of the next segment."""
+    return [F.shiftleft(F.lit(i).cast("long"), 32).bitwiseOR(F.shiftleft(_segment(i, widths), 16)).bitwiseOR(_segment(i + 1, widths)) for i in range(len(widths))]
+
+
+def _keyed(nodes: DataFrame, widths: tuple[int, ...]) -> DataFrame:
+    """(key, side, bits): for each segment the key of the node's own two segments, and those with one zero bit of the second set."""
     parts = []
-    for i in range(rings):
-        width = widths[(i + 1) % rings]
-        base = F.shiftleft(segment(i), 16).bitwiseOR(F.shiftleft(F.lit(i).cast("long"), 32))
-        own = base.bitwiseOR(segment(i + 1))
-        flips = [F.when(segment(i + 1).bitwiseAND(F.lit(1 << b)) == 0, base.bitwiseOR(segment(i + 1)).bitwiseOR(F.lit(1 << b))) for b in range(width)]
-        parts.append(F.array(own, *(flips if flipped else [])))
-    each = F.explode(F.array_compact(F.flatten(F.array(*parts))))
-    return nodes.select(each.alias("key"), "bits")
-
-
-def _edges_of(bits: np.ndarray, key: int, budget: int, widths: tuple[int, ...]) -> list[tuple[int, int]]:
-    """A spanning forest of the links that this key shows between its members."""
+    for i, key in enumerate(_own_keys(widths)):
+        entries = [(key, LEFT | RIGHT), *((k, RIGHT) for k in _flips(key, i, widths))]
+        parts += [F.when(k.isNotNull(), F.struct(k.alias("key"), F.lit(side).alias("side"))) for k, side in entries]
+    return nodes.select(F.explode(F.array_compact(F.array(*parts))).alias("k"), "bits").select("k.key", "k.side", "bits")
+
+
+def _edges_of(bits: np.ndarray, side: np.ndarray, key: int, budget: int, widths: tuple[int, ...]) -> list[tuple[int, int]]:
+    """A spanning forest of the links that this key shows between its left and right members."""
     starts, rings, first = _starts(widths), len(widths), key >> 32
     parts = [(bits >> np.uint64(starts[(first + j) % rings])) & np.uint64((1 << widths[(first + j) % rings]) - 1) for j in range(rings)]
-    home = parts[1] == np.uint64(key & 0xFFFF)
-    if not home.any():
-        return []
     parent = np.arange(len(bits))
 
     def root(i: int) -> int:
@@ -97,11 +101,11 @@ def _edges_of(bits: np.ndarray, key: int, budget: int, widths: tuple[int, ...])
         return i
 
     edges = []
-    own = np.flatnonzero(home)
-    for a in range(0, len(own), BLOCK):
-        x = own[a : a + BLOCK]
-        for b in range(0, len(bits), BLOCK):
-            y = np.arange(b, min(b + BLOCK, len(bits)))
+    left, right = np.flatnonzero(side & LEFT), np.flatnonzero(side & RIGHT)
+    for a in range(0, len(left), BLOCK):
+        x = left[a : a + BLOCK]
+        for b in range(0, len(right), BLOCK):
+            y = right[b : b + BLOCK]
             run, ok = np.zeros((len(x), len(y)), np.uint8), None
             for j in range(1, rings):  # chains from this segment: their sums stay within l * budget / segments
                 run += np.bitwise_count(parts[j][x][:, None] ^ parts[j][y][None, :])
@@ -109,7 +113,7 @@ def _edges_of(bits: np.ndarray, key: int, budget: int, widths: tuple[int, ...])
                 ok = within if ok is None else ok & within
                 if not ok.any():
                     break
-            ok &= x[:, None] != y[None, :]
+            ok &= bits[x][:, None] != bits[y][None, :]
             for i, k in zip(*np.nonzero(ok), strict=True):
                 r, s = root(int(x[i])), root(int(y[k]))
                 if r != s:
@@ -118,59 +122,75 @@ def _edges_of(bits: np.ndarray, key: int, budget: int, widths: tuple[int, ...])
     return edges
 
 
-def _linker(budget: int, widths: tuple[int, ...]):
-    """Of rows sorted by key: edges between fingerprints."""
+def by_group(batches: Iterator[pa.RecordBatch], keys: int, work) -> Iterator[pa.RecordBatch]:
+    """``work`` on each run of rows with equal values of the first ``keys`` columns (of 64-bit integers); rows come sorted by them."""
+    held: pa.Table | None = None
+    for batch in batches:
+        now = pa.Table.from_batches([batch])
+        held = now if held is None else pa.concat_tables([held, now])
+        columns = [held.column(i).to_numpy() for i in range(keys)]
+        changed = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        if len(changed):
+            yield from work(held.slice(0, int(changed[-1])).combine_chunks(), np.concatenate([[0], changed]))
+            held = held.slice(int(changed[-1]))
+    if held is not None and len(held):
+        yield from work(held.combine_chunks(), np.array([0, len(held)]))
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, pairs_at = np.empty(0, np.int64), np.empty(0, np.int64)
-        bits = np.empty(0, np.uint64)
+def _linker(budget: int, widths: tuple[int, ...]):
+    """Of (key, pair, side, bits) sorted by key and pair: edges between fingerprints."""
 
-        def edges(keys: np.ndarray, pairs_at: np.ndarray, bits: np.ndarray) -> pa.RecordBatch | None:
-            begins = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (pairs_at[1:] != pairs_at[:-1])]))
-            ends = np.append(begins[1:], len(keys))
-            found = []
-            for a, b in zip(begins[ends - begins > 1].tolist(), ends[ends - begins > 1].tolist(), strict=True):
+    def edges(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        keys, sides, bits, found = table["key"].to_numpy(), table["side"].to_numpy(), table["bits"].to_numpy().view(np.uint64), []
+        lone = np.diff(cuts) < 2
+        for a, b in zip(cuts[:-1][~lone].tolist(), cuts[1:][~lone].tolist(), strict=True):
+            if (sides[a:b] & LEFT).any():
                 own = bits[a:b]
-                found += [(own[i], own[j]) for i, j in _edges_of(own, int(keys[a]), budget, widths)]
-            if not found:
-                return None
+                found += [(own[i], own[j]) for i, j in _edges_of(own, sides[a:b], int(keys[a]), budget, widths)]
+        if found:
             pairs = np.sort(np.array(found, np.uint64).view(np.int64), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-        for batch in batches:
-            keys = np.concatenate([keys, batch.column(0).to_numpy()])
-            pairs_at = np.concatenate([pairs_at, batch.column(1).to_numpy()])
-            bits = np.concatenate([bits, batch.column(2).to_numpy().view(np.uint64)])
-            changes = np.flatnonzero((keys[1:] != keys[:-1]) | (pairs_at[1:] != pairs_at[:-1]))
-            if len(changes):
-                cut = int(changes[-1]) + 1
-                if (out := edges(keys[:cut], pairs_at[:cut], bits[:cut])) is not None:
-                    yield out
-                keys, pairs_at, bits = keys[cut:], pairs_at[cut:], bits[cut:]
-        if len(keys) and (out := edges(keys, pairs_at, bits)) is not None:
-            yield out
+    return lambda batches: by_group(batches, 2, edges)
 
-    return run
+
+def _hot_keys(nodes: DataFrame, widths: tuple[int, ...], hot: int) -> DataFrame:
+    """(key, lefts, rights): in how many chunks each side of a key with more than ``hot`` members is dealt out.
+
+    A key's members are its own and those of the at most 16 keys one bit below it, so one with more than ``hot`` has
+    one of more than a 32nd among them: only what those hold is counted, and the rest is allowed for.
+    """
+    rings, few = len(widths), max(1, hot // 32)
+    counted = nodes.select(F.explode(F.array(*_own_keys(widths))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("members"))
+    heavy = counted.where(F.col("members") > few)
+    flips = F.array_compact(F.flatten(F.array(*[F.when(F.shiftright("key", 32) == i, F.array(*_flips(F.col("key"), i, widths))).otherwise(F.array().cast("array<long>")) for i in range(rings)])))
+    reached = heavy.select("key", F.col("members").alias("own"), F.col("members").alias("all")).unionAll(heavy.select(F.explode(flips), F.lit(0).cast("long"), "members"))
+    summed = reached.groupBy("key").agg(F.sum("own").alias("own"), F.sum("all").alias("all")).where(F.col("all") > hot // 2)
+    half = F.lit(max(1, hot // 2))
+    return summed.select("key", F.greatest(F.lit(1), F.ceil((F.col("own") + few) / half)).cast("long").alias("lefts"), F.greatest(F.lit(1), F.ceil((F.col("all") + 17 * few) / half)).cast("long").alias("rights"))
 
 
 def links(nodes: DataFrame, budget: int = 4, widths: tuple[int, ...] = WIDTHS, hot: int = HOT) -> DataFrame:
     """Edges (a < b) that connect all ``nodes`` (distinct ``bits``) within ``budget`` bits of each other.
 
-    A key with more than ``hot`` own fingerprints is split: its members are dealt to chunks, and each pair of chunks is
-    a task's work of bounded memory, so that no link is lost and no task holds the whole key.
+    A key that may have more than ``hot`` members, its own or flipped ones, is split: each side is dealt to chunks, and
+    each pair of chunks is a task's work of bounded memory, so that no link is lost and no task holds the whole key.
     """
     if len(widths) != budget + 1 or sum(widths) != 64 or max(widths) > 16:
         raise ValueError("expected budget + 1 segments of at most 16 bits that make 64")
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-    own = _keyed(nodes, widths, flipped=False).groupBy("key").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > hot)
-    large = materialise(own.select("key", F.ceil(F.col("members") / F.lit(max(1, hot // 2))).alias("chunks")), "hot_keys")
-    keyed = _keyed(nodes, widths)
+    large = materialise(_hot_keys(nodes, widths, hot), "hot_keys")
+    keyed, whole = _keyed(nodes, widths), F.lit(0).cast("long")
     if large.isEmpty():
-        dealt = keyed.select("key", F.lit(0).cast("long").alias("pair"), "bits")
+        dealt = keyed.select("key", whole.alias("pair"), "side", "bits")
     else:
-        chunk = F.pmod(F.xxhash64("bits"), F.col("chunks"))
-        pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda j: F.least(j, chunk) * F.col("chunks") + F.greatest(j, chunk))
-        dealt = keyed.join(large, "key", "left").select("key", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)).alias("pair"), "bits")
+        left, right = F.pmod(F.xxhash64("bits"), F.col("lefts")), F.pmod(F.xxhash64("bits"), F.col("rights"))
+        as_left = F.transform(F.sequence(whole, F.col("rights") - 1), lambda j: F.struct((left * F.col("rights") + j).alias("pair"), (F.lit(LEFT) + F.when(j == right, RIGHT).otherwise(0)).alias("side")))
+        as_right = F.transform(F.sequence(whole, F.col("lefts") - 1), lambda i: F.struct((i * F.col("rights") + right).alias("pair"), F.lit(RIGHT).alias("side")))
+        cells = F.when(F.col("lefts").isNull(), F.array(F.struct(whole.alias("pair"), F.col("side"))))
+        own = F.array_union(as_left, F.filter(as_right, lambda c: c["pair"] != left * F.col("rights") + right))
+        cells = cells.when(F.col("side") == RIGHT, as_right).otherwise(own)
+        dealt = keyed.join(large, "key", "left").select("key", F.explode(cells).alias("c"), "bits").select("key", "c.pair", "c.side", "bits")
     return dealt.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(_linker(budget, widths), schema).distinct()
 
 

@@ -488,6 +488,18 @@ def test_pigeonring_loses_no_link(spark, hot):
     assert all((root(a) == root(b)) == (want[a] == want[b]) for a in values for b in r.sample(sorted(values), 20))
 
 
+def test_hot_keys_count_flipped_members(spark):
+    """A key with one member of its own beside a dense key is split on the flipped side, and nobody is lost."""
+    rng = np.random.default_rng(6)
+    dense = np.unique(rng.integers(0, 1 << 38, 3000)) << 26  # the first two segments are all zeros
+    lone = int(dense[0]) | 1 << 13  # one bit of the second segment set: its own key is reached by every dense member
+    df = spark.createDataFrame([(int(np.int64(v)),) for v in [*dense.astype(np.int64), lone]], "bits long")
+    split = {r["key"]: r for r in simhash._hot_keys(df, simhash.WIDTHS, 512).collect()}
+    assert split[1]["lefts"] == 1 and split[1]["rights"] >= 11 and split[0]["lefts"] >= 11
+    edges = {tuple(r) for r in simhash.links(df, hot=512).collect()}
+    assert (min(int(dense[0]), lone), max(int(dense[0]), lone)) in edges
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100 + r.randrange(50), 100 + r.randrange(50)) for _ in range(30)] + [(500, 501), (501, 500), (700, 700)]
