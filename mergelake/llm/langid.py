@@ -23,10 +23,12 @@ from mergelake.llm.common import crc32_remainder, field, map_arrow
 DIMENSIONS = 1024
 ORDER = 3
 UNKNOWN = "und"
-#: Weight of one training text, shared by its n-grams.
+#: Weight of one training text, shared by its n-grams; 2 ** 39 texts of a language sum up in 64 bits.
 UNIT = 1 << 24
 #: n-grams whose vectors a worker keeps, a byte for each dimension.
 REMEMBER = 1 << 15
+#: Characters of a text that are cut into n-grams at once.
+PIECE = 1 << 20
 
 _letters: list[np.ndarray] = []
 
@@ -37,19 +39,32 @@ def _letter_table() -> np.ndarray:
     return _letters[0]
 
 
-def ngrams(text: str | None, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and counts of the lower-cased text's n-grams; every run of other characters is one blank. Empty if no letter."""
-    points = np.frombuffer((text or "").lower().encode("utf-32-le"), "<u4")
-    letter = _letter_table()[points]
-    if not letter.any():
+def ngrams(text: str | None, order: int = ORDER, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and counts of the lower-cased text's n-grams; every run of other characters is one blank. Empty if no letter.
+
+    Texts are cut into pieces of ``piece`` characters whose counts are added, so that very long ones need little more
+    memory than they take themselves; a piece begins with the last ``order`` - 1 characters of the one before.
+    """
+    lowered, table, before, found, lettered = (text or "").lower(), _letter_table(), np.array([32], np.int64), [], False
+    for at in range(0, len(lowered) + 1, piece):
+        points = np.frombuffer(lowered[at : at + piece].encode("utf-32-le", "surrogatepass"), "<u4")
+        letter = table[points]
+        lettered |= bool(letter.any())
+        last = [[32]] if at + piece > len(lowered) else []
+        points = np.concatenate([before, np.where(letter, points, 32), *last]).astype(np.int64)
+        blank = points == 32
+        points = points[~(blank & np.concatenate([[False], blank[:-1]]))]
+        codes = np.zeros(max(0, len(points) - order + 1), np.int64)
+        for i in range(order):
+            codes = (codes << 21) | points[i : i + len(codes)]
+        found.append(np.unique(codes, return_counts=True))
+        before = points[-(order - 1) :] if order > 1 else points[:0]
+    if not lettered:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    points = np.concatenate([[32], np.where(letter, points, 32), [32]]).astype(np.int64)
-    blank = points == 32
-    points = points[~(blank & np.concatenate([[False], blank[:-1]]))]
-    codes = np.zeros(max(0, len(points) - order + 1), np.int64)
-    for i in range(order):
-        codes = (codes << 21) | points[i : i + len(codes)]
-    return np.unique(codes, return_counts=True)
+    if len(found) == 1:
+        return found[0]
+    codes, at = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
+    return codes, np.bincount(at, np.concatenate([n for _, n in found])).astype(np.int64)
 
 
 class Vectors:
@@ -141,7 +156,7 @@ def fit_prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
 
     def add(table: pa.Table) -> pa.Table:
         rows = table["sums"].combine_chunks()
-        total = rows.values.to_numpy().reshape(-1, dimensions).sum(axis=0) >> 8
+        total = rows.values.to_numpy().reshape(-1, dimensions).sum(axis=0)
         return pa.table({"lang": table["lang"][:1], "part": pa.array([0]), "sums": pa.array([total.tolist()], pa.list_(pa.int64()))})
 
     parts = docs.select(text_col, lang_col).where(F.col(lang_col).isNotNull()).mapInArrow(run, schema)
@@ -154,8 +169,10 @@ def fit_prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", dimensions: int = DIMENSIONS, order: int = ORDER, seed: int = 42) -> DataFrame:
     """Id, ``lang_pred`` and ``score`` (the cosine, negative ones as 0), a row for each row of ``docs``.
 
-    Null, empty and letterless texts are ``und`` with score 0, as is everything when there is no prototype. Of equal
-    cosines the alphabetically first language is taken. Only the text is looked at; null and repeated ids pass through.
+    Null, empty and letterless texts are ``und`` with score 0, as is everything when there is no prototype. A text with
+    letters gets a language: of equal cosines, or where its n-grams cancel out, the alphabetically first. Very long
+    texts are looked at whole. Null and repeated ids pass through; an empty table gives an empty result. Other columns
+    are ignored.
     """
     schema = T.StructType([field(docs, id_col), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     predict = _predictor(prototypes, dimensions, order, seed)
@@ -168,7 +185,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "
 
 
 def keep_identified(docs: DataFrame, prototypes: dict[str, np.ndarray], least_score: float, text_col: str = "text", dimensions: int = DIMENSIONS, order: int = ORDER, seed: int = 42) -> DataFrame:
-    """The rows of ``docs``, whole and unshuffled, that have a language with at least ``least_score``."""
+    """The rows of ``docs``, whole and unshuffled, that have a language with at least ``least_score``; without prototypes none."""
     predict = _predictor(prototypes, dimensions, order, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,12 +205,12 @@ def _predictor(prototypes: dict[str, np.ndarray], dimensions: int, order: int, s
         made, names, scores = vectors(dimensions, order, seed), [], []
         for text in texts:
             codes, counts = ngrams(text, order)
-            profile = made.bundle(codes, counts.astype(np.float32)) if len(codes) and langs else None
-            if profile is None or not profile.any():
+            if not len(codes) or not langs:
                 names.append(UNKNOWN)
                 scores.append(0.0)
                 continue
-            cosines = known @ profile / np.linalg.norm(profile)
+            profile = made.bundle(codes, counts.astype(np.float32))
+            cosines = known @ profile / max(1.0, float(np.linalg.norm(profile)))
             best = int(np.argmax(cosines))
             names.append(langs[best])
             scores.append(min(1.0, max(0.0, float(cosines[best]))))

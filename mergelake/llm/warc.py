@@ -17,7 +17,7 @@ import json
 import uuid
 from collections import OrderedDict
 from collections.abc import Iterator
-from urllib.parse import urlsplit
+from urllib.parse import quote, unquote, urlsplit
 
 import pyarrow as pa
 from pyarrow import fs
@@ -32,6 +32,8 @@ from mergelake.llm.common import materialise, scratch_path
 BLOCK_LINES = 2048
 #: Bytes after which a task begins a new archive file.
 FILE_BYTES = 1 << 30
+#: Compressed bytes of records that a reading task gets on average.
+READ_BYTES = 64 << 20
 #: Decompressed blocks and open files that a reader keeps.
 KEEP = 16
 
@@ -57,16 +59,22 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page: str, url: str, payload: bytes, digest: str, refers_to: str | None, date: str) -> bytes:
-    """One WARC/1.1 record: a response with its payload, or a revisit that names the response it repeats."""
+def record(name: str, page: str | None, url: str, payload: bytes, digest: str, refers_to: str | None, date: str) -> bytes:
+    """One WARC/1.1 record: a response with its payload, or a revisit that names the page whose response it repeats.
+
+    ``name`` makes the record's id, which no other record of the archive may have; ids of pages, which may repeat or be
+    null, are percent-encoded in fields of their own (WARC lets writers add fields).
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     lines = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page}>", f"WARC-Date: {date}", f"WARC-Target-URI: {url}",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", f"WARC-Date: {date}", f"WARC-Target-URI: {url}",
         f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
+    if page is not None:
+        lines.append(f"Page-ID: {quote(page, safe='')}")
     if refers_to is not None:
-        lines[5:5] = [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        lines[5:5] = [f"Refers-To-Page-ID: {quote(refers_to, safe='')}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -124,7 +132,7 @@ def write_archives(records: DataFrame, folder: str, date: str = "1970-01-01T00:0
                         out.stream.close()
                     out = _Out(folder, "warc")
                 clean = "".join((url or "").split())
-                made.append((task + n, url_key(url), out.name, *out.write(gzip.compress(record(page, clean, payload, base32_sha1(payload), refers_to, date), 6, mtime=0))))
+                made.append((task + n, url_key(url), out.name, *out.write(gzip.compress(record(f"{folder}/{task + n}", page, clean, payload, base32_sha1(payload), refers_to, date), 6, mtime=0))))
                 n += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True) if made else [[]] * 5, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], _captures.names)
         if out:
@@ -222,12 +230,14 @@ def read_archives(captures: DataFrame, folder: str, shards: list[tuple]) -> Data
                     kind, size, digest = outer["warc-type"], int(inner["content-length"]), outer["warc-payload-digest"].removeprefix("sha1:")
                     if kind == "response" and (len(payload), base32_sha1(payload)) != (size, digest):
                         raise ValueError(f"damaged record of {outer['warc-record-id']}")
-                    named = [None if x is None else x.removeprefix("<urn:page:").removesuffix(">") for x in (outer["warc-record-id"], outer.get("warc-refers-to"))]
+                    named = [None if x is None else unquote(x) for x in (outer.get("page-id"), outer.get("refers-to-page-id"))]
                     made.append((named[0], size, digest, kind, named[1], payload if kind == "response" else None))
                 kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], schema.names)
 
-    return captures.select("url_key", "row").repartitionByRange("url_key", "row").sortWithinPartitions("url_key", "row").mapInArrow(run, schema)
+    # keys are small and what they stand for is not: readers are as many as the records' bytes ask for, not the keys'
+    readers = max(captures.sparkSession.sparkContext.defaultParallelism, -(-(captures.agg(F.sum("length")).first()[0] or 0) // READ_BYTES))
+    return captures.select("url_key", "row").repartitionByRange(readers, "url_key", "row").sortWithinPartitions("url_key", "row").mapInArrow(run, schema)
 
 
 def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, folder: str | None = None) -> DataFrame:
@@ -236,8 +246,8 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     Returns id, ``payload_bytes``, ``payload_digest`` (bare base32 SHA-1), ``record_type``, ``refers_to``, ``payload`` (of
     responses, else null). Of records with equal payloads of at least ``least_bytes`` bytes those with the smallest id are
     responses (all, where rows repeat that id), others revisit that id; smaller payloads are all responses. A null payload
-    is empty; a null id is larger than any other, and a null URL is an empty one. An empty table gives an empty result.
-    Other columns are ignored.
+    is empty; a null id is larger than any other, and a null URL is an empty one. Very long payloads are one record each,
+    held whole by one task. An empty table gives an empty result. Other columns are ignored.
     """
     spark, kind = pages.sparkSession, pages.schema[id_col].dataType
     folder = folder or scratch_path(spark, "warc")
@@ -246,11 +256,10 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     firsts = rows.where(F.col("size") >= least_bytes).groupBy(F.col("digest").alias("own"), F.col("size").alias("own_size")).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
     refers = F.when(~F.col("first").eqNullSafe(F.col("id")) & F.col("first").isNotNull(), F.col("first").cast("string"))
     joined = rows.join(firsts, (F.col("digest") == F.col("own")) & (F.col("size") == F.col("own_size")), "left")
-    records = joined.select(F.coalesce(F.col("id").cast("string"), F.lit("null")).alias("page"), "url", "payload", refers.alias("refers_to"))
+    records = joined.select(F.col("id").cast("string").alias("page"), "url", "payload", refers.alias("refers_to"))
     captures = write_archives(records, folder)
     read = read_archives(captures, folder, write_index(captures, folder))
-    back = F.when(F.col("page") != "null", F.col("page")).cast(kind)
-    return read.select(back.alias(id_col), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"), "payload")
+    return read.select(F.col("page").cast(kind).alias(id_col), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"), "payload")
 
 
 def oracle_sql() -> str:

@@ -1,6 +1,7 @@
 """Each operator against a plain version of itself, and on odd input: nulls, empty and long texts, repeats, no rows, extra columns."""
 
 import base64
+import gzip
 import hashlib
 import math
 import random
@@ -365,6 +366,23 @@ def test_warc_round_trip(spark):
     assert warc.archive(df.limit(0)).count() == 0
 
 
+def test_warc_record_ids_and_readers(spark, tmp_path):
+    """Every record has an id of its own, also of repeated pages; ids that are text come back as they were; readers follow the bytes."""
+    ids = ["null", "a b", "x\r\ny", "ü/%", "null", None]
+    df = spark.createDataFrame([(i, f"http://h/{n}", "same") for n, i in enumerate(ids)], "page_id string, url string, html string")
+    folder = f"file://{tmp_path}/w"
+    got = warc.archive(df, folder=folder)
+    assert Counter(r["page_id"] for r in got.collect()) == Counter(ids)
+    assert {r["refers_to"] for r in got.collect()} == {None, "a b"}
+    names = []
+    for path in (tmp_path / "w").glob("warc-*"):
+        names += re.findall(rb"WARC-Record-ID: (\S+)", gzip.decompress(path.read_bytes()))
+    assert len(names) == len(set(names)) == len(ids)
+    captures = spark.range(100).select(F.col("id").alias("row"), F.col("id").cast("string").alias("url_key"), F.lit("f").alias("file"), F.lit(0).alias("offset"), F.lit(warc.READ_BYTES).alias("length"))
+    assert "RangePartitioning" in (plan := warc.read_archives(captures, folder, [])._jdf.queryExecution().toString()) or "rangepartitioning" in plan
+    assert re.search(r"(?i)rangepartitioning\(.*, 100\)|RepartitionByExpression.*100", plan)
+
+
 def test_warc_index(spark, tmp_path):
     """Binary search over several shards and blocks finds every capture and nothing else."""
     rows = [(str(i), f"http://h{i % 7}.example.com/{i}", f"p{i}".encode(), None) for i in range(500)]
@@ -423,6 +441,18 @@ def test_language_odd(spark, odd):
     assert langid.identify_held_out(odd.limit(0)).count() == 0
 
 
+def test_language_pieces_and_cancelled_profiles():
+    """Counts do not depend on where a long text is cut; a text with letters whose profile is zero still gets a language."""
+    r = random.Random(3)
+    text = "".join(r.choice("abc  .1é中") for _ in range(500))
+    whole = dict(zip(*map(np.ndarray.tolist, langid.ngrams(text)), strict=True))
+    for piece in (1, 2, 3, 7, 64, 499, 500, 501):
+        assert dict(zip(*map(np.ndarray.tolist, langid.ngrams(text, piece=piece)), strict=True)) == whole, piece
+    assert not len(langid.ngrams("1 2 3" * 50, piece=4)[0]) and not len(langid.ngrams("")[0])
+    predict = langid._predictor({"b": np.zeros(64), "a": np.zeros(64)}, 64, 3, 42)
+    assert predict(["abc", "123", None]) == (["a", "und", "und"], [0.0, 0.0, 0.0])
+
+
 # SimHash
 
 
