@@ -3,7 +3,8 @@
 Folding maps look-alike letters, accents, digits and signs that stand for letters, and stretched letters to one
 form, for the lexicon and the text alike. The lexicon holds words and word beginnings that labelled toxic
 documents have far more often than clean ones; weights are log odds. Matches inside exception phrases do not
-count. A document's score is a logistic function of its matched weight and of that weight per word.
+count: some are given, others are learned, as the pairs of words around a match that clean labelled documents have
+and toxic ones have not. A document's score is a logistic function of its matched weight and of that weight per word.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ EXCEPTIONS = ("trash can", "trash bin", "clown fish", "stupid mistake", "scum li
 
 #: Labelled documents from which the lexicon is learned at most.
 SAMPLE = 20_000
+#: Clean documents that must have a phrase for it to be an exception, and how much likelier they must be to have it than toxic ones.
+PHRASE_DOCS, PHRASE_ODDS = 3, 2.0
 #: Length of word beginnings.
 BEGINNINGS = range(4, 9)
 _not_letters = re.compile(r"[\W\d_]+")
@@ -76,35 +79,60 @@ class Lexicon:
     coefficients: tuple[float, float, float]
     exceptions: tuple[str, ...] = EXCEPTIONS
 
+    def __hash__(self) -> int:
+        return hash((frozenset(self.weights.items()), self.coefficients, self.exceptions))
+
     def automaton(self) -> ahocorasick.Automaton:
         made = ahocorasick.Automaton()
         for entry, weight in self.weights.items():
             made.add_word(entry, (len(entry), weight))
-        for phrase in self.exceptions:
-            made.add_word(fold(phrase), (len(fold(phrase)), None))
+        for phrase in map(fold, self.exceptions):
+            made.add_word(phrase, (len(phrase), None))
         if len(made):
             made.make_automaton()
         return made
 
 
 def measure(automaton: ahocorasick.Automaton, text: str | None) -> tuple[float, int]:
-    """Matched weight outside exception phrases, and the number of words."""
+    """Matched weight outside exception phrases, and the number of words; in time linear in text and matches."""
     folded = fold(text)
     words = folded.count(" ") - 1 if len(folded) > 2 else 0
     if not len(automaton) or not words:
         return 0.0, words
-    total, spared, found = 0.0, [], []
+    spared, found = [], []
     for end, (length, weight) in automaton.iter(folded):
-        if weight is None:
-            spared.append((end - length + 1, end))
-        else:
-            found.append((end - length + 1, end, weight))
-    for begin, end, weight in found:
-        if not any(a <= begin and end <= b for a, b in spared):
+        (spared if weight is None else found).append((end - length + 1, end, weight))
+    if not spared:
+        return sum(w for _, _, w in found), words
+    total, at, reach = 0.0, 0, -1
+    spared.sort(key=lambda x: x[0])
+    for begin, end, weight in sorted(found, key=lambda x: x[0]):
+        while at < len(spared) and spared[at][0] <= begin:  # of the phrases that begin by then the one that reaches furthest
+            reach = max(reach, spared[at][1])
+            at += 1
+        if end > reach:
             total += weight
     return total, words
 
 
+def _around(automaton: ahocorasick.Automaton, folded: str) -> set[str]:
+    """The pairs of words before and after each match."""
+    out: set[str] = set()
+    for end, (length, _) in automaton.iter(folded):
+        begin = end - length + 1
+        after = end if folded[end] == " " else folded.index(" ", end)
+        if begin:
+            out.add(folded[folded.rindex(" ", 0, begin) : after + 1])
+        if after + 1 < len(folded):
+            out.add(folded[begin : folded.index(" ", after + 1) + 1])
+    return out
+
+
+def choose_exceptions(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> tuple[str, ...]:
+    """Phrases from (toxic, clean) document counts: enough clean documents and large enough log odds against toxicity."""
+    return tuple(sorted(p for p, (t, c) in counts.items() if c >= PHRASE_DOCS and np.log((c + 0.5) / (clean + 1)) - np.log((t + 0.5) / (toxic + 1)) >= PHRASE_ODDS))
+
+
 def _features(weight: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(weight)), np.log1p(weight), np.log1p(100 * weight / np.maximum(words, 1))], axis=1)
 
@@ -168,16 +196,42 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     summed = each.groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     counted = summed.where(F.col("toxic") >= max(3.0, 0.004 * toxic)).where(F.col("toxic") * clean > F.col("clean") * toxic * 2).collect()
     weights = choose({r["entry"]: (r["toxic"], r["clean"]) for r in counted}, toxic, clean)
-    automaton = Lexicon(weights, (0.0, 0.0, 0.0)).automaton
-    measured = map_arrow(rows.select("text", "label"), _measurer(automaton), T.StructType([T.StructField("label", T.IntegerType()), T.StructField("weight", T.DoubleType()), T.StructField("words", T.LongType())]))
+    exceptions = (*EXCEPTIONS, *_learned_exceptions(rows, Lexicon(weights, (0.0, 0.0, 0.0), ()), toxic, clean))
+    measured = map_arrow(rows.select("text", "label"), _measurer(Lexicon(weights, (0.0, 0.0, 0.0), exceptions)), T.StructType([T.StructField("label", T.IntegerType()), T.StructField("weight", T.DoubleType()), T.StructField("words", T.LongType())]))
     table = measured.toArrow()
     x, y = _features(table["weight"].to_numpy(), table["words"].to_numpy()), table["label"].to_numpy().astype(float)
-    return Lexicon(weights, tuple(float(round(b, 9)) for b in _logistic(x, y)))
+    return Lexicon(weights, tuple(float(round(b, 9)) for b in _logistic(x, y)), exceptions)
+
+
+def _learned_exceptions(rows: DataFrame, lexicon: Lexicon, toxic: int, clean: int) -> tuple[str, ...]:
+    """From the labelled sample alone; what comes to the driver are phrases that enough of its clean documents have."""
+    schema = T.StructType([T.StructField("phrase", T.StringType()), T.StructField("label", T.IntegerType())])
+
+    def run(batch: pa.RecordBatch) -> dict:
+        made, found = automaton_of(lexicon), []
+        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found += [(p, label) for p in (_around(made, fold(text)) if len(made) else ())]
+        return {"phrase": pa.array([p for p, _ in found], pa.string()), "label": pa.array([x for _, x in found], pa.int32())}
+
+    each = map_arrow(rows.select("text", "label"), run, schema)
+    counted = each.groupBy("phrase").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c")).where(F.col("c") >= PHRASE_DOCS).collect()
+    return choose_exceptions({r["phrase"]: (r["t"], r["c"]) for r in counted}, toxic, clean)
+
+
+_automata: dict[Lexicon, ahocorasick.Automaton] = {}
+
+
+def automaton_of(lexicon: Lexicon) -> ahocorasick.Automaton:
+    """Built once in a worker, whatever the number of its batches and tasks."""
+    if lexicon not in _automata:
+        _automata.clear()
+        _automata[lexicon] = lexicon.automaton()
+    return _automata[lexicon]
 
 
-def _measurer(automaton):
+def _measurer(lexicon: Lexicon):
     def run(batch: pa.RecordBatch) -> dict:
-        made = automaton()
+        made = automaton_of(lexicon)
         found = [measure(made, t) for t in batch.column(0).to_pylist()]
         return {"label": batch.column(1), "weight": pa.array([x[0] for x in found], pa.float64()), "words": pa.array([x[1] for x in found], pa.int64())}
 
@@ -198,13 +252,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, rounds: int = 3
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """Id, ``score`` (0 to 1, higher: likelier toxic), ``predicted`` (1 from ``threshold``), ``weight``, ``n_words``, a row for each row of ``docs``.
 
-    Null, empty and wordless texts match nothing and have the score of a text without matches. Only the text is looked
-    at; null and repeated ids pass through. An empty table gives an empty result. Other columns are ignored.
+    Null, empty and wordless texts match nothing and have the score of a text without matches. Very long texts are
+    matched whole, in time linear in their length. Only the text is looked at; null and repeated ids pass through. An
+    empty table gives an empty result. Other columns are ignored.
     """
     schema = T.StructType([field(docs, id_col), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("weight", T.DoubleType()), T.StructField("n_words", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = lexicon.automaton()
+        automaton = automaton_of(lexicon)
         for batch in batches:
             found = [measure(automaton, t) for t in batch.column(1).to_pylist()]
             weight, words = np.array([x[0] for x in found], float), np.array([x[1] for x in found], np.int64)

@@ -279,6 +279,55 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in got)
 
 
+def plain_weight(lexicon, text):
+    """Every occurrence of every entry, by looking at each place of the folded text, unless some phrase's occurrence holds it."""
+    folded = toxicity.fold(text)
+    places = lambda p: [i for i in range(len(folded)) if folded.startswith(p, i)]
+    spared = [(i, i + len(p)) for p in map(toxicity.fold, lexicon.exceptions) for i in places(p)]
+    return sum(w for e, w in lexicon.weights.items() for i in places(e) if not any(a <= i and i + len(e) <= b for a, b in spared))
+
+
+def test_toxicity_matcher_against_every_place(spark):
+    """Random texts over few letters, with entries and phrases that overlap and hold each other."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("ab") for _ in range(r.randint(1, 4)))
+    for _ in range(150):
+        entries = {f" {word()}" + r.choice(["", " "]): float(r.randint(1, 9)) for _ in range(6)}
+        phrases = tuple({toxicity.fold(" ".join(word() for _ in range(r.randint(1, 3)))) for _ in range(r.randint(0, 4))} - set(entries))
+        lexicon = toxicity.Lexicon(entries, (0.0, 1.0, 1.0), phrases)
+        text = " ".join(word() for _ in range(r.randint(0, 30)))
+        assert toxicity.measure(lexicon.automaton(), text)[0] == plain_weight(lexicon, text)
+
+
+def test_toxicity_on_given_labels(spark, docs, texts, sf_dir):
+    """The registered query's weights are the plain matcher's, and its held-out predictions those of the labels."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    lexicon = toxicity.fit(docs, labels.where("crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1"))
+    got = {r["doc_id"]: r for r in queries()["op5_toxicity"](spark, sf_dir).collect()}
+    assert set(got) == set(texts)
+    for i, r in got.items():
+        assert r["weight"] == pytest.approx(plain_weight(lexicon, texts[i]["text"]))
+
+
+def test_toxicity_learns_exceptions(spark):
+    """A toxic word that clean documents have in one phrase counts everywhere but there."""
+    r = random.Random(15)
+    word = lambda: "".join(r.choice("aeioulmnrst") for _ in range(r.randint(4, 8)))
+    rows = []
+    for i in range(900):
+        words = [word() for _ in range(40)]
+        if i % 3 == 0:
+            words[7] = words[21] = "vrakku"
+        elif i % 60 == 1:
+            words[9:11] = ["vrakku", "blossom"]
+        rows.append((i, " ".join(words), int(i % 3 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lexicon = toxicity.fit(df.drop("toxic"), df.select("doc_id", "toxic"))
+    assert toxicity.fold("vrakku blossom") in lexicon.exceptions and toxicity.fold("vrakku") in lexicon.weights
+    got = {x["doc_id"]: x["predicted"] for x in toxicity.score(df, lexicon).collect()}
+    assert all(got[i] == toxic for i, _, toxic in rows)
+
+
 def test_toxicity_exceptions_and_odd(spark, odd):
     lexicon = toxicity.Lexicon({toxicity.fold("trash"): 5.0}, (-2.0, 1.0, 1.0))
     df = spark.createDataFrame([(1, "you are trash"), (2, "put it in the trash can"), (3, "trashy")], "doc_id long, text string")
