@@ -121,7 +121,7 @@ def _meta(path: str) -> dict:
 class TableReader(_Reading, DataSourceReader):
     def partitions(self) -> Sequence[InputPartition]:
         log = L.Log(ReadStore(self.path))
-        return self.buckets({p: v.snapshot for p in log.partitions() if (v := log.latest(p))}) or [Bucket([])]
+        return self.buckets({p: v.snapshot for p in log.partitions() if (v := log.now(p))}) or [Bucket([])]
 
     def read(self, partition: Bucket) -> Iterator[pa.RecordBatch]:
         kind = self.meta["properties"].get("cdc_change_column")
@@ -137,7 +137,7 @@ class TableStreamReader(_Reading, DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         log = L.Log(ReadStore(self.path))
-        return {p: v.number for p in log.partitions() if (v := log.latest(p))}
+        return {p: v.number for p in log.partitions() if (v := log.now(p))}
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
         log = L.Log(ReadStore(self.path))

@@ -28,7 +28,7 @@ def write_batch(table: Table, df: DataFrame, batch_id: int, query_id: str, mode:
         table.upsert(df, merge_schema=merge_schema, txn=txn)
     else:
         table.append(df, merge_schema=merge_schema, txn=txn)
-    return True
+    return True  # the batch is a part of the table's one commit: all of it is there, or none and it is replayed
 
 
 def write_stream(df: DataFrame, table: Table, query_id: str, mode: str = "append", merge_schema: bool = False) -> DataStreamWriter:
@@ -39,32 +39,38 @@ def write_stream(df: DataFrame, table: Table, query_id: str, mode: str = "append
 class ChangeReader:
     """Micro-batches of what was committed to a table, by position in each partition's log.
 
-    ``poll`` gives rows that came since the position it holds; ``offset`` can be kept and given back after a restart.
+    ``poll`` gives rows that came since the position it holds, and moves to ``pending``; ``done`` makes that the
+    position, so a batch whose target failed is polled again. ``offset`` can be kept and given back after a restart.
     """
 
     def __init__(self, table: Table, offset: dict[str, int] | None = None, partition: str | None = None):
         self.table, self.offset, self.partition = table, dict(offset or {}), partition
+        self.pending = dict(self.offset)
 
     def poll(self) -> DataFrame | None:
-        log, chosen, new = self.table.log, {}, dict(self.offset)
+        log, chosen, self.pending = self.table.log, {}, dict(self.offset)
         for p in [self.partition] if self.partition else log.partitions():
-            last = log.latest(p)
-            seen = self.offset.get(p, -1)
+            last, seen = log.now(p), self.offset.get(p, -1)
             if last is None or last.number <= seen:
                 continue
-            ids = log.between(p, seen, last.number)
-            new[p] = last.number
-            if ids:
+            if ids := log.between(p, seen, last.number):
                 chosen[p] = ids
-        self.offset = new
-        return self.table._load(chosen) if chosen else None
+            self.pending[p] = last.number
+        if not chosen:
+            self.done()
+            return None
+        return self.table._load(chosen)
+
+    def done(self) -> None:
+        self.offset = dict(self.pending)
 
 
 def copy_changes(source: Table, target: Table, query_id: str, reader: ChangeReader | None = None) -> int:
     """Moves everything that came since the reader's position to another table; returns the batches committed."""
     reader, n = reader or ChangeReader(source), 0
     while (batch := reader.poll()) is not None:
-        n += write_batch(target, batch, max(reader.offset.values()) + sum(reader.offset.values()), query_id)
+        n += write_batch(target, batch, max(reader.pending.values()) + sum(reader.pending.values()), query_id)
+        reader.done()
     return n
 
 

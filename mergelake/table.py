@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 
 from mergelake.operators import log as L
 from mergelake.operators import merging, schema
-from mergelake.operators.filters import bucket_of, conjuncts, prune, split_condition, without_deleted
+from mergelake.operators.filters import conjuncts, prune, split_condition, without_deleted
+from mergelake.sources import bucketed
 from mergelake.sources.store import Store
 
 #: Table properties.
@@ -47,6 +48,7 @@ class Table:
         self.spark, self.path = spark, path
         self.store = Store(spark, path)
         self.log = L.Log(self.store)
+        self._info: tuple[str, TableInfo] | None = None
         if not self.store.names("_meta"):
             raise TableError(f"no table at {path}")
 
@@ -73,7 +75,10 @@ class Table:
 
     @property
     def info(self) -> TableInfo:
-        return TableInfo(**self.store.read("_meta", self.store.names("_meta")[-1]))
+        name = self.store.names("_meta")[-1]
+        if self._info is None or self._info[0] != name:
+            self._info = (name, TableInfo(**self.store.read("_meta", name)))
+        return replace(self._info[1])
 
     def _change(self, **new) -> None:
         names = self.store.names("_meta")
@@ -162,49 +167,53 @@ class Table:
         """
         info = self.info
         names = {r: f"p_{r}" for r in info.ranges}
-        coded = {p: F.when(F.col(f"`{r}`").isNull(), L.NULL).when(F.col(f"`{r}`").cast("string") == "", L.EMPTY).otherwise(F.col(f"`{r}`").cast("string")) for r, p in names.items()}
+        coded = {p: F.coalesce(F.when(F.col(f"`{r}`").cast("string") == "", L.EMPTY).otherwise(F.col(f"`{r}`").cast("string")), F.lit(L.NULL)) for r, p in names.items()}
         kept = [c for c in df.columns if c not in info.ranges]
+        folder = self.store.uri("data", f"commit={commit_id}")
         if info.keys:
             n = buckets or info.buckets
             out = df.withColumn("_row", F.monotonically_increasing_id()).repartition(n, *[F.col(f"`{k}`") for k in info.keys]).withColumns(coded)
-            out = out.sortWithinPartitions(*names.values(), *info.keys, *sort_also, "_row").select(*kept, *names.values())
+            order = [*names.values(), bucketed.bucket_id(self.spark, info.keys, n), *[F.col(f"`{k}`") for k in info.keys], *sort_also, "_row"]
+            bucketed.write(out.sortWithinPartitions(*order).select(*[F.col(f"`{c}`") for c in kept], *names.values()), folder, list(names.values()), info.keys, n)
         else:
-            out = df.withColumns(coded).select(*kept, *names.values())
-            if names:
-                out = out.hint("rebalance", *names.values())
-        writer = out.write.option("compression", "zstd")
-        if names:
-            writer = writer.partitionBy(*names.values())
-        writer.parquet(self.store.uri("data", f"commit={commit_id}"))
+            out = df.withColumns(coded).select(*[F.col(f"`{c}`") for c in kept], *names.values())
+            writer = (out.hint("rebalance", *names.values()) if names else out).write.option("compression", "zstd")
+            (writer.partitionBy(*names.values()) if names else writer).parquet(folder)
         found: dict[str, list[L.DataFile]] = {}
         for path, size in self.store.files("data", f"commit={commit_id}"):
             parts = dict(p.split("=", 1) for p in path.split("/")[2:-1])
             values = {r: unquote(parts[p]) for r, p in names.items()}
             where = L.partition_name({r: None if v == L.NULL else "" if v == L.EMPTY else v for r, v in values.items()})
-            bucket = int(os.path.basename(path).split("-")[1]) if info.keys else 0
-            found.setdefault(where, []).append(L.DataFile(path, "add", size, bucket, df.columns))
+            found.setdefault(where, []).append(L.DataFile(path, "add", size, bucketed.bucket_of_file(path) if info.keys else 0, df.columns))
         return found
 
-    def _add(self, df: DataFrame, op: str, txn: list | None = None, read: dict[str, int] | None = None, sort_also: Iterable[str] = ()) -> None:
+    def _commit(self, commit_id: str, op: str, files: list[L.DataFile], **more) -> L.Commit:
+        return L.Commit(commit_id, op, files, L.now_ms(), buckets=self.info.buckets, **more)
+
+    def _add(self, df: DataFrame, op: str, txn: list | None = None, read: dict[str, int] | None = None, sort_also: Iterable[str] = ()) -> bool:
         commit_id = L.new_id()
-        for partition, files in self._write(df, commit_id, sort_also).items():
-            self.log.add(partition, L.Commit(commit_id, op, files, L.now_ms(), txn), (read or {}).get(partition, -1))
+        commits = {p: self._commit(commit_id, op, files) for p, files in self._write(df, commit_id, sort_also).items()}
+        return bool(commits or txn) and self.log.add(commits, read, txn)
 
     # ---- reading ---------------------------------------------------------------------------------------------
 
     def _latest(self, partitions: Iterable[str] | None = None) -> dict[str, list[str]]:
-        return {p: v.snapshot for p in (self.log.partitions() if partitions is None else partitions) if (v := self.log.latest(p))}
+        return {p: v.snapshot for p in (self.log.partitions() if partitions is None else partitions) if (v := self.log.now(p))}
 
-    def _load(self, snapshots: dict[str, list[str]], merge: bool = True, operators: dict[str, str] | None = None, buckets: set[int] | None = None, with_file: bool = False) -> DataFrame:
-        """The rows of some snapshots, merged by key."""
+    def _load(self, snapshots: dict[str, list[str]], merge: bool = True, operators: dict[str, str] | None = None, buckets: tuple[int, int] | None = None, with_file: bool = False, only: set[str] | None = None) -> DataFrame:
+        """The rows of some snapshots, merged by key; of all their files, of every so-manieth bucket's (first, step), or ``only`` the files named."""
         info, struct = self.info, self.schema
-        files = [(p, place, f) for p, ids in snapshots.items() for place, f in self.log.active(p, ids) if buckets is None or f.bucket in buckets]
+        files = [(p, place, f) for p, ids in snapshots.items() for place, f in self.log.active(p, ids) if (buckets is None or f.bucket % buckets[1] == buckets[0]) and (only is None or f.path in only)]
         if not files:
             return self.spark.createDataFrame([], struct)
         data = T.StructType([f for f in struct.fields if f.name not in info.ranges])
         coded = T.StructType([T.StructField("commit", T.StringType()), *[T.StructField(f"p_{r}", T.StringType()) for r in info.ranges]])
         paths = [self.store.uri(p) for p in self._paths(files)]
-        raw = self.spark.read.schema(T.StructType(data.fields + coded.fields)).option("basePath", self.store.uri("data")).parquet(*paths)
+        dealt = {self.log.commit(p, snapshots[p][place]).buckets for p, place, _ in files}
+        if info.keys and len(dealt) == 1 and min(dealt) > 0:  # one layout: what needs rows of a key together needs no exchange
+            raw = bucketed.read(self.spark, paths, self.store.uri("data"), data, coded, info.keys, min(dealt))
+        else:
+            raw = self.spark.read.schema(T.StructType(data.fields + coded.fields)).option("basePath", self.store.uri("data")).parquet(*paths)
         back = [F.when(F.col(f"p_{r}") == L.NULL, None).when(F.col(f"p_{r}") == L.EMPTY, "").otherwise(F.col(f"p_{r}")).cast(struct[r].dataType).alias(r) for r in info.ranges]
         operators = {**json.loads(info.properties.get(MERGE_OPS, "{}")), **(operators or {})}
         single = not operators and all(self._compacted(p, ids) for p, ids in snapshots.items())
@@ -233,7 +242,7 @@ class Table:
             return None
         return {p: ids[:1] for p, ids in snapshots.items()}, {p: ids[1:] for p, ids in snapshots.items() if ids[1:]}
 
-    def _over_base(self, snapshots: dict[str, list[str]], bases: dict[str, list[str]], deltas: dict[str, list[str]], buckets: set[int] | None) -> DataFrame:
+    def _over_base(self, snapshots: dict[str, list[str]], bases: dict[str, list[str]], deltas: dict[str, list[str]], buckets: tuple[int, int] | None) -> DataFrame:
         """Upserts merged by themselves, and the base's rows whose key they have not: the base is not aggregated, and not
         shuffled either where Spark finds the upserts small enough to broadcast."""
         on = [*self.info.ranges, *self.info.keys]
@@ -295,36 +304,24 @@ class Table:
     def partitions_for(self, condition: str | None) -> list[str]:
         return prune(self.spark, self.info.struct, self.info.ranges, self.log.partitions(), condition)
 
-    def read(self, condition: str | None = None, keep_deleted: bool = False, operators: dict[str, str] | None = None, skip_merge: bool = False) -> DataFrame:
+    def read(self, condition: str | None = None, keep_deleted: bool = False, operators: dict[str, str] | None = None, skip_merge: bool = False, buckets: tuple[int, int] | None = None) -> DataFrame:
         """The current rows. A condition prunes partitions, and is applied after the merge.
 
-        ``skip_merge`` gives the rows as written, and lets equalities on all keys prune buckets.
+        ``skip_merge`` gives the rows as written. Equalities on a single key prune buckets, in the scan, either way.
         """
         where = self.partitions_for(condition) if condition else None
-        buckets = self._hit_buckets(condition) if skip_merge and condition else None
         df = self._finished(self._load(self._latest(where), not skip_merge, operators, buckets), keep_deleted)
         return df.where(condition) if condition else df
 
-    def _hit_buckets(self, condition: str) -> set[int] | None:
-        """Buckets of ``key = literal`` (or IN lists) over a single key; None if the condition does not name them."""
-        info = self.info
-        if len(info.keys) != 1:
-            return None
-        for part in conjuncts(condition):
-            if m := re.fullmatch(rf"`?{info.keys[0]}`?\s*(?:=\s*('[^']*'|-?\d+)|in\s*\(([^()]*)\))", part, re.IGNORECASE):
-                values = [m[1]] if m[1] else m[2].split(",")
-                return {bucket_of(self.spark, info.struct, info.keys, info.buckets, {info.keys[0]: v.strip().strip("'")}) for v in values}
-        return None
-
-    def snapshot(self, end: int = 0, partition: str | None = None, keep_deleted: bool = False) -> DataFrame:
+    def snapshot(self, end: int = 0, partition: str | None = None, keep_deleted: bool = False, buckets: tuple[int, int] | None = None) -> DataFrame:
         """As of ``end`` (milliseconds; 0: now), of one partition or all."""
         chosen = {p: v.snapshot for p in ([partition] if partition else self.log.partitions()) if (v := self.log.at_time(p, end))}
-        return self._finished(self._load(chosen), keep_deleted)
+        return self._finished(self._load(chosen, buckets=buckets), keep_deleted)
 
-    def at_version(self, partition: str, number: int, keep_deleted: bool = False) -> DataFrame:
-        return self._finished(self._load({partition: self.log.version(partition, number).snapshot}), keep_deleted)
+    def at_version(self, partition: str, number: int, keep_deleted: bool = False, buckets: tuple[int, int] | None = None) -> DataFrame:
+        return self._finished(self._load({partition: self.log.version(partition, number).snapshot}, buckets=buckets), keep_deleted)
 
-    def incremental(self, start: int, end: int = 0, partition: str | None = None) -> DataFrame:
+    def incremental(self, start: int, end: int = 0, partition: str | None = None, buckets: tuple[int, int] | None = None) -> DataFrame:
         """What was committed after the last version before ``start`` up to ``end``; change kinds and deletes stay."""
         chosen = {}
         for p in [partition] if partition else self.log.partitions():
@@ -334,20 +331,20 @@ class Table:
                 ids = last.snapshot if last else []
             if ids:
                 chosen[p] = ids
-        return self._load(chosen)
+        return self._load(chosen, buckets=buckets)
 
     # ---- inserts ---------------------------------------------------------------------------------------------
 
-    def append(self, df: DataFrame, merge_schema: bool = False, txn: list | None = None) -> None:
+    def append(self, df: DataFrame, merge_schema: bool = False, txn: list | None = None) -> bool:
         if self.info.keys:
             raise TableError("a table with keys takes upserts, not appends")
-        self._add(self._prepared(df, merge_schema), L.APPEND, txn)
+        return self._add(self._prepared(df, merge_schema), L.APPEND, txn)
 
     def insert_by_position(self, df: DataFrame, merge_schema: bool = False) -> None:
         named = schema.by_position(df, self.schema)
         (self.upsert if self.info.keys else self.append)(named, merge_schema=merge_schema)
 
-    def overwrite(self, df: DataFrame, replace_where: str | None = None, merge_schema: bool = False, overwrite_schema: bool = False, txn: list | None = None, whole: bool = False) -> None:
+    def overwrite(self, df: DataFrame, replace_where: str | None = None, merge_schema: bool = False, overwrite_schema: bool = False, txn: list | None = None, whole: bool = False) -> bool:
         """Without range columns the whole table; with them the partitions that the new rows touch, or all that
         ``replace_where`` (over range columns; all new rows must satisfy it) or ``whole`` names."""
         info = self.info
@@ -359,21 +356,16 @@ class Table:
             first = rows.columns[0]
             rows = rows.withColumn(first, F.when(~F.coalesce(F.expr(replace_where), F.lit(False)), F.raise_error(F.lit("a row does not satisfy replaceWhere"))).otherwise(F.col(f"`{first}`")))
         commit_id = L.new_id()
+        targets = set(self.partitions_for(replace_where) if replace_where else self.log.partitions() if whole or not info.ranges else ())
         written = self._write(rows, commit_id)
-        targets = set(written) | set(self.partitions_for(replace_where) if replace_where else self.log.partitions() if whole or not info.ranges else ())
-        for p in sorted(targets):
-            if p in written:
-                self._replace(p, L.Commit(commit_id, L.UPDATE, written[p], L.now_ms(), txn))
-            else:
-                self.log.clear(p)
-
-    def _replace(self, partition: str, commit: L.Commit) -> None:
-        last = self.log.latest(partition)
-        self.log.replace(partition, commit, last.number if last else -1, keep_unread=False)
+        targets |= set(written)
+        self.log.partitions()
+        read = {p: v.number for p in targets if (v := self.log.now(p))}
+        return bool(self.log.replace({p: self._commit(commit_id, L.UPDATE, written[p]) if p in written else None for p in sorted(targets)}, read, False, txn))
 
     # ---- upserts ---------------------------------------------------------------------------------------------
 
-    def upsert(self, source: DataFrame, condition: str | None = None, merge_schema: bool = False, delta: bool = True, txn: list | None = None, sort_also: Iterable[str] = (), full_scan: bool = False) -> None:
+    def upsert(self, source: DataFrame, condition: str | None = None, merge_schema: bool = False, delta: bool = True, txn: list | None = None, sort_also: Iterable[str] = (), full_scan: bool = False) -> bool:
         """Writes the source's rows as a merge commit; the source may lack columns that are neither range nor key.
 
         ``condition`` filters the source. Without ``delta`` the touched partitions are rewritten by a full join, which
@@ -387,8 +379,7 @@ class Table:
             source = source.where(condition)
         rows = self._prepared(source, merge_schema, partial=True)
         if delta:
-            self._add(rows, L.MERGE, txn, sort_also=sort_also)
-            return
+            return self._add(rows, L.MERGE, txn, sort_also=sort_also)
         if info.ranges and not full_scan and not split_condition(self.spark, info.struct, info.ranges, condition)[0]:
             raise TableError("rewriting a partitioned table needs a condition over its range columns, or full_scan")
         touched = self.partitions_for(" AND ".join(split_condition(self.spark, info.struct, info.ranges, condition)[0]) or None)
@@ -398,12 +389,13 @@ class Table:
         match = F.expr(" AND ".join(f"o.`{c}` <=> n.`{c}`" for c in on))
         pick = lambda c: F.coalesce(F.col(f"n.`{c}`"), F.col(f"o.`{c}`")).alias(c) if c in rows.columns else F.col(f"o.`{c}`")
         self._rewrite(old.join(new, match, "full").select(*[pick(f.name) for f in self.schema.fields]), read, L.UPDATE, keep_empty=touched)
+        return True
 
-    def _rewrite(self, rows: DataFrame, read: dict[str, int], op: str, keep_empty: Iterable[str] = ()) -> None:
+    def _rewrite(self, rows: DataFrame, read: dict[str, int], op: str, keep_empty: Iterable[str] = (), replaces: dict[str, list[str]] | None = None) -> set[str]:
         commit_id = L.new_id()
         written = self._write(rows, commit_id)
-        for p in sorted({*written, *keep_empty}):
-            self.log.replace(p, L.Commit(commit_id, op, written.get(p, []), L.now_ms()), read.get(p, -1), keep_unread=op == L.COMPACTION)
+        commits = {p: self._commit(commit_id, op, written.get(p, []), replaces=(replaces or {}).get(p, [])) for p in sorted({*written, *keep_empty})}
+        return self.log.replace(commits, read, keep_unread=op == L.COMPACTION)
 
     def upsert_on_join_key(self, delta: DataFrame, join_key: Iterable[str], partition: str | None = None, condition: str | None = None) -> None:
         """A changed dimension: every row that has one of its join keys gets the dimension's columns.
@@ -490,8 +482,7 @@ class Table:
         meta, data = split_condition(self.spark, info.struct, info.ranges, condition)
         if condition is None or (meta and not data):
             where = self.partitions_for(condition)
-            for p in where:
-                self.log.clear(p)
+            self.log.clear(where)
             return len(where)
         kind = info.properties.get(CDC_COLUMN)
         if info.keys and kind:
@@ -503,7 +494,7 @@ class Table:
     def _rewrite_where(self, condition: str | None, changed: Callable[[DataFrame], DataFrame], op: str) -> int:
         """Rewrites what a condition touches: without keys the files that have such rows, with keys whole partitions."""
         info = self.info
-        touched = {p: v for p in (self.partitions_for(condition) if condition else self.log.partitions()) if (v := self.log.latest(p)) and v.snapshot}
+        touched = {p: v for p in (self.partitions_for(condition) if condition else self.log.partitions()) if (v := self.log.now(p)) and v.snapshot}
         if not touched:
             return 0
         chosen = {p: v.snapshot for p, v in touched.items()}
@@ -511,27 +502,23 @@ class Table:
         if info.keys or condition is None:
             stale = {p: {f.path for f in files} for p, files in active.items()}
             rows = self._load(chosen)
-        else:
-            raw = self._load(chosen, with_file=True)
-            hit = {unquote(r["_file"]) for r in raw.where(condition).select("_file").distinct().collect()}
-            stale = {p: {f.path for f in files if any(h.endswith("/" + unquote(f.path)) for h in hit)} for p, files in active.items()}
+        else:  # one look for the files that have such rows, which reads the condition's columns alone; then those files whole
+            top = f"{self.store.uri('data').removeprefix('file://').rstrip('/')}/"
+            found = self._load(chosen, with_file=True).where(condition).select("_file").distinct().toLocalIterator()
+            hit = {"data/" + unquote(r["_file"]).partition(top)[2] for r in found}
+            stale = {p: {f.path for f in files if unquote(f.path) in hit} for p, files in active.items()}
             if not any(stale.values()):
                 return 0
-            rows = raw.where(F.col("_file").isin([h for h in {r["_file"] for r in raw.where(condition).select("_file").distinct().collect()}])).drop("_file")
+            rows = self._load(chosen, only={f for paths in stale.values() for f in paths})
         commit_id = L.new_id()
         written = self._write(changed(rows), commit_id)
-        n = 0
-        for p, version in touched.items():
-            if not stale[p]:
-                continue
-            n += 1
-            new = written.get(p, [])
-            if op == L.UPDATE:
-                self.log.replace(p, L.Commit(commit_id, op, new + [f for f in active[p] if f.path not in stale[p]], L.now_ms()), version.number, keep_unread=False)
-            else:
-                gone = [replace(f, op="del") for f in active[p] if f.path in stale[p]]
-                self.log.add(p, L.Commit(commit_id, op, gone + new, L.now_ms()), version.number)
-        return n
+        changes = [p for p in touched if stale[p]]
+        read = {p: touched[p].number for p in changes}
+        if op == L.UPDATE:
+            self.log.replace({p: self._commit(commit_id, op, written.get(p, []) + [f for f in active[p] if f.path not in stale[p]]) for p in changes}, read, False)
+        else:
+            self.log.add({p: self._commit(commit_id, op, [replace(f, op="del") for f in active[p] if f.path in stale[p]] + written.get(p, [])) for p in changes}, read)
+        return len(changes)
 
     # ---- maintenance -----------------------------------------------------------------------------------------
 
@@ -539,7 +526,7 @@ class Table:
         """Merges each partition's files into one per bucket, applying merge operators. In a table with a change column
         deleted rows go and updates become inserts. Returns the number of partitions compacted."""
         info = self.info
-        chosen = {p: v for p in self.partitions_for(condition) if (v := self.log.latest(p)) and v.snapshot and (buckets or operators or not self._compacted(p, v.snapshot))}
+        chosen = {p: v for p in self.partitions_for(condition) if (v := self.log.now(p)) and v.snapshot and (buckets or operators or not self._compacted(p, v.snapshot))}
         if not chosen:
             return 0
         if buckets and info.keys:
@@ -550,49 +537,65 @@ class Table:
         kind = info.properties.get(CDC_COLUMN)
         if kind in rows.columns:
             rows = without_deleted(rows, kind).withColumn(kind, F.when(F.col(kind) == "update", "insert").otherwise(F.col(kind)))
-        old = {p: [f.path for _, f in self.log.active(p, v.snapshot)] for p, v in chosen.items()}
-        self._rewrite(rows, {p: v.number for p, v in chosen.items()}, L.COMPACTION, keep_empty=chosen)
-        if clean_old:
-            for p, paths in old.items():
-                self.log.forget(p, [n for n in self.log.numbers(p)[:-1]])
-                for path in paths:
+        old = {p: {f.path for _, f in self.log.active(p, v.snapshot)} for p, v in chosen.items()}
+        done = self._rewrite(rows, {p: v.number for p, v in chosen.items()}, L.COMPACTION, keep_empty=chosen, replaces={p: v.snapshot for p, v in chosen.items()})
+        if clean_old:  # only where this compaction won, and only what the table as it is now does not name
+            self.log.forget({p: [n for n in self.log.numbers(p) if n <= chosen[p].number] for p in done})
+            named = {p: {f.path for v in self.log.history(p) for c in v.snapshot for f in self.log.commit(p, c).files} for p in done}
+            for p in done:
+                for path in sorted(old[p] - named[p]):
                     self.store.delete(path)
-        return len(chosen)
+        return len(done)
 
     def compact_levels(self, file_limit: int = 4, byte_limit: int = 64 << 20, growth: int = 4, max_level: int = 4) -> dict[str, int]:
         """Levelled compaction: level 0 holds incremental commits; a level with ``file_limit`` commits, or with more bytes
-        than its limit (``byte_limit`` times ``growth`` a level), is merged into one commit of the next level. Deleted rows
-        stay, since older levels may hold what they delete. Returns the level reached by each partition touched."""
+        than its limit (``byte_limit`` times ``growth`` a level), is merged into one commit of the next level, the last into
+        one of its own. Without the oldest commit only such with the same columns are merged, so that a column which they
+        lack stays what older commits make it. Deleted rows stay, since older levels may hold what they delete. A
+        compaction that meets another one, an update or a delete leaves the partition alone. Returns the level reached by
+        each partition touched."""
         done: dict[str, int] = {}
         for p in self.log.partitions():
             while (job := self._level_job(p, file_limit, byte_limit, growth, max_level)) is not None:
                 version, first, last, level = job
-                part = version.snapshot[first : last + 1]
-                commit_id = f"{part[0]}-l{level}-{L.new_id()[-12:]}"
+                before, part = version.snapshot, version.snapshot[first : last + 1]
+                columns = sorted({c for i in part for f in self.log.commit(p, i).files for c in f.columns})
                 rows = self._load({p: part})
-                files = self._write(rows, commit_id).get(p, [])
-                new = [*version.snapshot[:first], commit_id, *version.snapshot[last + 1 :]]
-                self.log.write_commit(p, L.Commit(commit_id, L.MERGE if first else L.COMPACTION, files, L.now_ms()))
-                before = version.snapshot
-                self.log._advance(p, lambda now, new=new, before=before: ([*new, *now.snapshot[len(before) :]], L.COMPACTION) if now and now.snapshot[: len(before)] == before else None)
+                commit_id = L.new_id()
+                files = self._write(rows.select(*[f"`{c}`" for c in rows.columns if not first or c in columns]), commit_id).get(p, [])
+                commit = self._commit(commit_id, L.MERGE if first else L.COMPACTION, files, replaces=part, level=level)
+                new = [*before[:first], commit_id, *before[last + 1 :]]
+
+                def plan(p=p, before=before, new=new, commit=commit) -> dict[str, L.Change] | None:
+                    now = self.log.now(p)
+                    return {p: L.Change([*new, *now.snapshot[len(before) :]], L.COMPACTION, commit)} if now and now.snapshot[: len(before)] == before else None
+
+                if not self.log.transact(plan):
+                    break
                 done[p] = level
         return done
 
-    @staticmethod
-    def _level(commit_id: str) -> int:
-        return int(commit_id.split("-l")[1].split("-")[0]) if "-l" in commit_id else 0
-
     def _level_job(self, partition: str, file_limit: int, byte_limit: int, growth: int, max_level: int) -> tuple[L.Version, int, int, int] | None:
         """(version, first, last commit, new level) of the lowest level that is full; a level's commits lie together."""
         version = self.log.latest(partition)
         ids = version.snapshot if version else []
-        if any(f.op == "del" for c in ids for f in self.log.commit(partition, c).files):
+        commits = [self.log.commit(partition, c) for c in ids]
+        if any(f.op == "del" for c in commits for f in c.files):
             return None
-        for level in range(max_level):
-            at = [i for i, c in enumerate(ids) if self._level(c) == level]
-            size = sum(f.size for i in at for f in self.log.commit(partition, ids[i]).files)
-            if len(at) >= file_limit or (len(at) > 1 and size > byte_limit * growth**level):
-                return version, at[0], at[-1], level + 1
+        columns = [{x for f in c.files for x in f.columns} for c in commits]
+        for level in range(max_level + 1):
+            at = [i for i, c in enumerate(commits) if c.level == level]
+            size = sum(f.size for i in at for f in commits[i].files)
+            if len(at) < file_limit and not (len(at) > 1 and size > byte_limit * growth**level):
+                continue
+            runs: list[list[int]] = []
+            for i in at:
+                if runs and runs[-1][-1] == i - 1 and (runs[-1][0] == 0 or columns[i] == columns[i - 1]):
+                    runs[-1].append(i)
+                else:
+                    runs.append([i])
+            if longest := max((r for r in runs if len(r) > 1), key=len, default=None):
+                return version, longest[0], longest[-1], min(level + 1, max_level)
         return None
 
     def needs_compaction(self, versions: int = 10) -> list[str]:
@@ -617,17 +620,14 @@ class Table:
         self.log.restore(partition, version)
 
     def cleanup(self, partition: str, before: int) -> None:
-        """Forgets versions before a time (but the latest) and deletes files that no remaining version uses."""
+        """Forgets versions before a time (but the latest), then deletes files that no remaining version uses."""
         history = self.log.history(partition)
         old = [v for v in history[:-1] if v.timestamp < before]
-        kept_ids = {c for v in history if v not in old for c in v.snapshot}
-        kept_files = {f.path for c in kept_ids for f in self.log.commit(partition, c).files}
-        for c in sorted({c for v in old for c in v.snapshot} - kept_ids):
-            for f in self.log.commit(partition, c).files:
-                if f.op == "add" and f.path not in kept_files:
-                    self.store.delete(f.path)
-            self.log.forget_commit(partition, c)
-        self.log.forget(partition, [v.number for v in old])
+        files = lambda versions: {f.path for v in versions for c in v.snapshot for f in self.log.commit(partition, c).files}
+        had = files(old)
+        self.log.forget({partition: [v.number for v in old]})
+        for path in sorted(had - files(self.log.history(partition))):
+            self.store.delete(path)
 
     def expire(self, now: int | None = None) -> list[str]:
         """Applies the time-to-live properties, in days; returns the partitions dropped."""
@@ -635,7 +635,6 @@ class Table:
         for p in self.log.partitions():
             last = self.log.latest(p)
             if PARTITION_TTL in properties and last and last.snapshot and last.timestamp < now - float(properties[PARTITION_TTL]) * 86_400_000:
-                self.log.clear(p)
                 dropped.append(p)
                 continue
             compactions = [v for v in self.log.history(p) if v.op == L.COMPACTION]
@@ -645,6 +644,7 @@ class Table:
                 old = [v for v in compactions if v.timestamp < now - float(properties[COMPACTION_TTL]) * 86_400_000]
                 if old:
                     self.cleanup(p, old[-1].timestamp)
+        self.log.clear(dropped)
         return dropped
 
     def vacuum(self, older_than: int = 0) -> int:
@@ -661,13 +661,11 @@ class Table:
         if data or not meta:
             raise TableError("the condition is over range columns only")
         where = self.partitions_for(condition)
-        for p in where:
-            self.log.clear(p)
+        self.log.clear(where)
         return where
 
     def truncate(self) -> None:
-        for p in self.log.partitions():
-            self.log.clear(p)
+        self.log.clear(self.log.partitions())
 
     def partitions(self) -> list[str]:
         """Partitions that have rows."""

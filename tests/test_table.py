@@ -203,11 +203,12 @@ def test_conflicts(spark, make):
     read = t.log.latest("-5").number
     t.upsert(spark.createDataFrame([(2, 2)], "k int, v int"))
     with pytest.raises(L.CommitConflict):  # an update that read before the upsert
-        t.log.replace("-5", L.Commit(L.new_id(), L.UPDATE, [], L.now_ms()), read, keep_unread=False)
-    kept = t.log.replace("-5", L.Commit(L.new_id(), L.COMPACTION, [], L.now_ms()), read, keep_unread=True)
+        t.log.replace({"-5": L.Commit(L.new_id(), L.UPDATE, [], L.now_ms())}, {"-5": read}, keep_unread=False)
+    assert t.log.replace({"-5": L.Commit(L.new_id(), L.COMPACTION, [], L.now_ms())}, {"-5": read}, keep_unread=True) == {"-5"}
+    kept = t.log.latest("-5")
     assert len(kept.snapshot) == 2  # what came in between stays
-    late = t.log.replace("-5", L.Commit(L.new_id(), L.COMPACTION, [], L.now_ms()), read, keep_unread=True)
-    assert late.number == kept.number  # a second compaction gives way
+    assert t.log.replace({"-5": L.Commit(L.new_id(), L.COMPACTION, [], L.now_ms())}, {"-5": read}, keep_unread=True) == set()
+    assert t.log.latest("-5").number == kept.number  # a second compaction gives way
 
 
 def test_create_only_once(tmp_path, spark):
