@@ -6,6 +6,11 @@ consecutive segments differs in at most l * budget / segments bits. The first tw
 join key: the first segment is equal, the second differs in at most one bit, which is enumerated on one side
 (only zero bits are set). The third and fourth links prune before the full Hamming check. Each key's links leave
 the task as a spanning forest, so a dense group yields as many edges as it has members, not all its pairs.
+
+Documents whose shingle sets have a Jaccard similarity of 0.8 differ in some 10 of 64 bits, and in up to 24. No chain of
+segments is a key at that budget: the second link alone would need thousands of keys a document. There,
+:func:`similar_documents` takes as candidates those that share a band of least shingle hashes; the chains, and then
+the full Hamming check, prune them before the exact similarity decides.
 """
 
 from __future__ import annotations
@@ -26,30 +31,44 @@ WIDTHS = (13, 13, 13, 13, 12)
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 #: Members of one key that are compared at once.
 BLOCK = 2048
+#: Members of one key whose pairs are listed at once.
+PAIRED = 512
 #: Members of a key, own or flipped, from which they are dealt out over pairs of chunks of half that size.
 HOT = 8192
+#: Bands and least hashes in each: a pair of similarity 0.8 shares none of the bands in 2 of 10,000 cases.
+BANDS, LEAST = 16, 4
+#: Bits in which fingerprints of similar documents may differ, and the ring segments of a byte by which chains are checked.
+SIMILAR_BITS, SIMILAR_RING = 24, 8
 #: Sides of a comparison that a member is on: its own key's, the others', both.
 LEFT, RIGHT = 1, 2
 
 
-def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
-    """64-bit SimHash of word shingles under XXH64; zero for a text without words."""
+def shingle_hashes(text: str | None, words: int, seed: int) -> list[int]:
+    """XXH64 of each shingle of so many words, lower-cased (ASCII), repeats included; of the whole of a shorter text; none without words."""
     found = (text or "").encode().lower().split()
     if not found:
-        return 0
+        return []
     joined = b" ".join(found)
     if len(found) <= words:
-        hashes = [xxhash.xxh64_intdigest(joined, seed)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-        begins = np.concatenate([[0], ends[:-1] + 1])
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], seed) for a, b in zip(begins[: len(found) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
-    octets = np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8)
+        return [xxhash.xxh64_intdigest(joined, seed)]
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
+    begins = np.concatenate([[0], ends[:-1] + 1])
+    digest = xxhash.xxh64_intdigest
+    return [digest(joined[a:b], seed) for a, b in zip(begins[: len(found) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of some 64-bit hashes; zero for none."""
+    octets = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
     set_bits = np.concatenate([np.bincount(octets[:, i], minlength=256) @ _BITS for i in range(8)])
     return int(np.packbits(2 * set_bits > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
+    """64-bit SimHash of word shingles under XXH64; zero for a text without words."""
+    return majority_bits(np.array(shingle_hashes(text, words, seed), np.uint64))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42) -> DataFrame:
     """Id and ``bits``: the fingerprint as a signed 64-bit integer. Null and empty texts have zero."""
     schema = T.StructType([field(docs, id_col), T.StructField("bits", T.LongType())])
@@ -231,3 +250,150 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     classes = materialise(named.join(least, "root").select("bits", "component_id"), "classes")
     return marked.join(classes, "bits").select(id_col, F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def band_keys(hashes: np.ndarray, bands: int = BANDS, least: int = LEAST, seed: int = 42) -> list[int]:
+    """A signed 64-bit key for each band of least hashes; none for a text without words."""
+    if not len(hashes):
+        return []
+    by = np.random.default_rng(seed).integers(0, 1 << 63, bands * least, np.uint64) * np.uint64(2) + np.uint64(1)
+    lowest = None
+    for a in range(0, len(hashes), 4096):
+        mixed = hashes[a : a + 4096, None] * by  # a product's high bits, mixed once more, order the shingles anew for each function
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        own = mixed.min(axis=0)
+        lowest = own if lowest is None else np.minimum(lowest, own)
+    return [xxhash.xxh64_intdigest(part.tobytes(), i) - (1 << 63) for i, part in enumerate(lowest.reshape(bands, least))]
+
+
+def chained(x: np.ndarray, y: np.ndarray, budget: int = SIMILAR_BITS) -> np.ndarray:
+    """For pairs of fingerprints whether they are within the budget: some segment from which all chains are, then all bits."""
+    ok = np.zeros(len(x), bool)
+    octets = np.bitwise_count((x ^ y).view(np.uint8).reshape(-1, SIMILAR_RING))
+    for start in range(SIMILAR_RING):
+        run, sound = np.zeros(len(x), np.int64), np.ones(len(x), bool)
+        for length in range(1, SIMILAR_RING + 1):
+            run += octets[:, (start + length - 1) % SIMILAR_RING]
+            sound &= run * SIMILAR_RING <= length * budget
+        ok |= sound
+    return ok
+
+
+_band = T.StructType([T.StructField("key", T.LongType()), T.StructField("cell", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("bits", T.LongType())])
+_pair = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+
+
+def _leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (key, node, bits, lead, lead_bits): the pairs of node and lead that the chains let through."""
+    for batch in batches:
+        x, y = (batch.column(c).to_numpy().view(np.uint64) for c in ("bits", "lead_bits"))
+        kept = pa.array(np.flatnonzero(chained(x, y)))
+        yield pa.RecordBatch.from_arrays([batch.column("lead").take(kept), batch.column("node").take(kept)], _pair.names)
+
+
+def _across(one: bool):
+    """Of (key, cell, node, bits, root, side, lead) sorted by key and cell: pairs of a left and a right node with different
+    roots that the chains let through, without the lead's, which were looked at before; if ``one``, of two roots the nearest pair."""
+
+    def pairs(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        bits, sides, leads = table["bits"].to_numpy().view(np.uint64), table["side"].to_numpy(), table["lead"].to_numpy(zero_copy_only=False)
+        roots, nodes = table["root"].combine_chunks().dictionary_encode().indices.to_numpy(), table["node"].combine_chunks()
+        names = np.array(nodes.to_pylist(), object)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            left, right = a + np.flatnonzero(sides[a:b] & LEFT), a + np.flatnonzero(sides[a:b] & RIGHT)
+            for s in range(0, len(left), PAIRED):
+                for t in range(0, len(right), PAIRED):
+                    i, j = left[s : s + PAIRED], right[t : t + PAIRED]
+                    at, to = np.nonzero((roots[i][:, None] != roots[j][None, :]) & ~leads[i][:, None] & ~leads[j][None, :])
+                    i, j = i[at], j[to]
+                    kept = chained(bits[i], bits[j])
+                    i, j = i[kept], j[kept]
+                    if one and len(i):
+                        lower, upper = np.minimum(roots[i], roots[j]), np.maximum(roots[i], roots[j])
+                        order = np.lexsort((np.bitwise_count(bits[i] ^ bits[j]), upper, lower))
+                        first = np.concatenate([[True], (np.diff(lower[order]) != 0) | (np.diff(upper[order]) != 0)])
+                        i, j = i[order[first]], j[order[first]]
+                    if len(i):
+                        x, y = names[i], names[j]
+                        swap = x > y
+                        yield pa.RecordBatch.from_arrays([pa.array(np.where(swap, y, x).tolist(), pa.binary()), pa.array(np.where(swap, x, y).tolist(), pa.binary())], _pair.names)
+
+    return lambda batches: by_group(batches, 2, pairs)
+
+
+def _node(text: str | None) -> bytes:
+    """A 128-bit name for all texts with the same words."""
+    return xxhash.xxh3_128_digest(b" ".join((text or "").encode().lower().split()))
+
+
+def similar_documents(docs: DataFrame, id_col: str, text_col: str = "text", words: int = 5, least: float = 0.8, seed: int = 42, hot: int = HOT, pick=None) -> DataFrame:
+    """Id and ``component_id`` (the smallest id reachable over pairs of similarity ``least``), a row for each row of ``docs``.
+
+    The similarity is Jaccard's, of the sets of ``words``-word shingles, lower-cased (ASCII); a text with fewer words is
+    one shingle. Null, empty and blank texts are equal texts. Equal texts are one node, whatever their number; very long
+    texts are compared whole. Ids must be unique and not null. An empty table gives an empty result. Other columns are
+    ignored.
+
+    Nodes that share a band are first compared with the band's least node, then, of what is still in different
+    components, the nearest pair of two components, then every pair: pairs leave a task only if the chains let them
+    through, and links are only those with the exact similarity. ``pick`` gives the rows of ``docs`` with some ids (a
+    column of that name), where the caller knows a cheaper way than a join.
+    """
+    pick = pick or (lambda ids: docs.join(ids, id_col, "left_semi"))
+    mark_schema = T.StructType([field(docs, id_col, "id"), T.StructField("node", T.BinaryType()), T.StructField("bits", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+
+    def mark(batch: pa.RecordBatch) -> dict:
+        nodes, bits, keys = [], [], []
+        for text in batch.column(1).to_pylist():
+            nodes.append(_node(text))
+            hashes = np.unique(np.array(shingle_hashes(text, words, seed), np.uint64))
+            bits.append(majority_bits(hashes))
+            keys.append(band_keys(hashes, seed=seed))
+        return {"id": batch.column(0), "node": pa.array(nodes, pa.binary()), "bits": pa.array(np.array(bits, np.uint64).view(np.int64)), "keys": pa.array(keys, pa.list_(pa.int64()))}
+
+    set_schema = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
+
+    def shingled(batch: pa.RecordBatch) -> dict:
+        texts = batch.column(0).to_pylist()
+        sets = [np.unique(np.array(shingle_hashes(t, words, seed), np.uint64)).view(np.int64) for t in texts]
+        return {"node": pa.array([_node(t) for t in texts], pa.binary()), "shingles": pa.array(sets, pa.list_(pa.int64()))}
+
+    marked = materialise(map_arrow(docs.select(id_col, text_col), mark, mark_schema), "marked")
+    nodes = materialise(marked.groupBy("node").agg(F.min("id").alias("least_id"), F.min("bits").alias("bits"), F.min("keys").alias("keys")), "nodes")
+    each = nodes.select(F.explode("keys").alias("key"), "node", "bits")
+    lead = each.groupBy("key").agg(F.min(F.struct("node", "bits")).alias("l"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("l.node").alias("lead"), F.col("l.bits").alias("lead_bits"), "n")
+    shared = materialise(each.join(lead, "key"), "shared")
+    led = materialise(shared.where("node <> lead").select("node", "bits", "lead", "lead_bits").distinct().mapInArrow(_leads, _pair), "led")
+
+    def with_sets(pairs: DataFrame) -> DataFrame:
+        """The links among ``pairs``: shingle sets are made of the texts that occur in them, once for each of their nodes."""
+        wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "least_id"), "node")
+        sets = materialise(map_arrow(pick(wanted.select(F.col("least_id").alias(id_col))).select(text_col), shingled, set_schema), "shingles")
+        left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+        both = F.size(F.array_intersect("x", "y"))
+        return materialise(pairs.join(left, "a").join(right, "b").where(both >= least * (F.size("x") + F.size("y") - both)).select("a", "b"), "links")
+
+    links_ = with_sets(led)
+    found = materialise(components(links_), "members")
+    for one in (True, False):
+        placed = shared.join(found, "node", "left").select("key", "node", "bits", "n", F.coalesce("root", "node").alias("root"), (F.col("node") == F.col("lead")).alias("lead"))
+        open_keys = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+        rest = materialise(placed.join(open_keys, "key", "left_semi").where("n > 2"), "rest")
+        if rest.isEmpty():
+            break
+        chunks = F.ceil(F.col("n") / F.lit(max(1, hot // 2)))
+        own = F.pmod(F.xxhash64("node"), chunks)
+        # a key's members are dealt to chunks, and every two chunks, and each with itself, are a task's work
+        cells = F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1), lambda j: F.struct((F.least(own, j) * chunks + F.greatest(own, j)).alias("cell"), F.when(own == j, LEFT | RIGHT).when(own < j, LEFT).otherwise(RIGHT).alias("side")))
+        dealt = rest.select("key", F.explode(cells).alias("c"), "node", "bits", "root", "lead").select("key", "c.cell", "node", "bits", "root", "c.side", "lead")
+        across = dealt.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_across(one), _pair).where("a <> b").distinct()
+        pairs = materialise(across, "pairs")
+        if not pairs.isEmpty():
+            links_ = links_.unionAll(with_sets(pairs))
+            found = materialise(components(links_), "members")
+
+    named = nodes.select("node", "least_id").join(found, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
+    least_ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    classes = materialise(named.join(least_ids, "root").select("node", "component_id"), "classes")
+    return marked.join(classes, "node").select(F.col("id").alias(id_col), "component_id")
