@@ -8,16 +8,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mergelake.llm import langid, minhash, mixing, packing, quality
+from mergelake.llm import langid, mixing, packing, places, quality, simhash
 from mergelake.llm.common import crc32_remainder, release, scratch_path, scratch_scope
 from mergelake.llm.queries import tokenizer_path
 
 #: Cosine with the best language prototype below which a document is taken for no language.
 LEAST_LANGUAGE_SCORE = 0.05
 
-#: A line of more than the operator's least number of texts is common whatever the size of its source: no share of it besides.
-COMMON_LINE_SHARE = 0.0
-
 _last: list = []
 
 
@@ -35,49 +32,65 @@ def _staged(stage):
     return run
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """Gives rows a key of their own, so that repeated or null ids stay apart: the file and the row's place in it.
-
-    Unlike a running number it does not depend on how a scan is split, so two scans of the same files agree even
-    when executors came or went between them.
-    """
-    file, row = F.hex(F.xxhash64("_metadata.file_path")), F.col("_metadata.row_index").cast("string")
-    return docs.withColumn("_row", F.concat(F.lpad(file, 16, "0"), F.lpad(row, 12, "0")))
-
-
 @_staged
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those that are like no language learned here."""
+    """Drops documents without a letter and those that are like no language learned here.
+
+    Null, empty and blank texts have no letter and go. Very long texts are looked at whole. Repeated rows share their
+    fate; null ids are learned from by nobody and judged like any other. Without a language to learn, as in an empty
+    table, nothing is left. Other columns, whatever their names, stay as they are.
+    """
     prototypes = langid.fit_prototypes(docs.where(crc32_remainder(F.col("doc_id"), 5) != 0))
     return langid.keep_identified(docs, prototypes, LEAST_LANGUAGE_SCORE)
 
 
 @_staged
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that fail the base rules or are depleted of lines of their own."""
-    rows = _numbered(docs)
-    return rows.join(quality.rate(rows, id_col="_row", share=COMMON_LINE_SHARE).where("kept").select("_row"), "_row", "left_semi").select(docs.columns)
+    """Drops documents that fail the base rules or are depleted of lines of their own.
+
+    Null, empty and blank texts have too few words and go. Very long texts are measured whole. Repeated rows are
+    documents each for itself, and so are rows with null or equal ids; null sources are a host of their own. An empty
+    table stays empty. Other columns, whatever their names, stay as they are.
+    """
+    place = places.free_name(docs, "place")
+    return places.taken(docs, quality.rate(places.placed(docs, place), id_col=place).where("kept").select(place), place)
 
 
 @_staged
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates (five-word shingles, Jaccard similarity of 0.8 or more) the first row stays."""
-    rows = _numbered(docs)
-    first = minhash.near_copies(rows, id_col="_row").where("_row = component_id").select("_row")
-    return rows.join(first, "_row", "left_semi").select(docs.columns)
+    """Of each component of near-duplicates (five-word shingles, Jaccard similarity of 0.8 or more) the first row stays.
+
+    The first is that with the least place: file, then row. Null, empty and blank texts are copies of each other;
+    repeated rows are copies too, whatever their ids. Very long texts are compared whole. An empty table stays empty.
+    Other columns, whatever their names, stay as they are.
+    """
+    place = places.free_name(docs, "place")
+    rows = places.placed(docs, place)
+    classes = simhash.similar_documents(rows, place, pick=lambda ids: places.taken(docs, ids, place))
+    return places.taken(docs, classes.where(F.col(place) == F.col("component_id")).select(place), place)
 
 
 @_staged
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
-    rows = _numbered(docs)
-    copies = mixing.mix(rows, id_col="_row").where("copies > 0").select("_row", "copies")
-    return rows.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    """Every document as often as the mix takes it, at most three times.
+
+    Null, empty and blank texts have no words and are taken never. Very long texts are taken whole. Repeated rows, and
+    rows with null or equal ids, are documents each for itself; null sources are a source, the last in order. An empty
+    table stays empty. Other columns, whatever their names, stay as they are.
+    """
+    place = places.free_name(docs, "place")
+    copies = mixing.mix(places.placed(docs, place), id_col=place).where("copies > 0").select(place, "copies")
+    return places.taken(docs, copies, place, "copies")
 
 
 @_staged
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of training sequences."""
+    """The pieces of training sequences, in the columns of :func:`mergelake.llm.packing.pack`.
+
+    Null and empty texts are documents of the end id alone; very long ones are cut into full sequences and a rest.
+    Repeated rows, and rows with null or equal ids, are packed each for itself. An empty table gives no pieces. Other
+    columns, whatever their names, are left out.
+    """
     return packing.pack(docs, tokenizer_path())
 
 
