@@ -13,10 +13,11 @@ from mergelake import streaming as S
 from mergelake.catalog import Catalog
 from mergelake.operators import log as L
 from mergelake.operators import merging
-from mergelake.operators.vectors import VectorConfig, VectorIndex, exact_top_k, hamming_top_k
+from mergelake.operators.vectors import VectorConfig, VectorIndex, exact_top_k, hamming_top_k, index_table
 from mergelake.plans.registry import query, read, table, workspace
-from mergelake.sources.scan import Scan
-from mergelake.table import Table
+from mergelake.functions import generators
+from mergelake.sources.scan import Scan, export_jdbc
+from mergelake.table import Table, TableError
 
 ORDERS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"
 TENTH = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice * 2 AS o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey % 10 = 0"
@@ -452,9 +453,39 @@ def vector_index_search(spark: SparkSession, d: str) -> DataFrame:
     return index.search(vector, 10, nprobe=16).select("vec_id")
 
 
-@query(f"SELECT vec_id FROM embeddings ORDER BY list_distance(CAST(embedding AS DOUBLE[]), CAST({_QUERY_VECTOR} AS DOUBLE[])), vec_id LIMIT 1")
+def _recall(spark: SparkSession, d: str, search, queries: int = 20, k: int = 10) -> DataFrame:
+    """Over some rows as queries, whether a search finds 90 % of the exact neighbours and does not look at everything."""
+    rows = read(spark, d, "embeddings")
+    hits = 0
+    for r in rows.where("vec_id % 7 = 3").orderBy("vec_id").limit(queries).collect():
+        want = {x["vec_id"] for x in exact_top_k(rows, "embedding", list(r["embedding"]), k, "L2", "vec_id").collect()}
+        hits += len(want & {x["vec_id"] for x in search(list(r["embedding"]), k).collect()})
+    return spark.createDataFrame([(hits >= 0.9 * queries * k,)], "reached boolean")
+
+
+@query("SELECT TRUE AS reached")
+def vector_index_recall(spark: SparkSession, d: str) -> DataFrame:
+    """An index for each bucket of a keyed table, 12 of 16 lists, four bits a component: recall over ten queries."""
+    t = table(spark, read(spark, d, "embeddings").select("vec_id", "embedding"), keys=["vec_id"], buckets=2)
+    dim = len(_vector(spark, d))
+    index = index_table(t, f"{workspace(spark)}/v", VectorConfig("embedding", dim, nlist=16, bits=4))
+    return _recall(spark, d, lambda q, k: index.search(q, k, nprobe=12), 10)
+
+
+@query(f"SELECT vec_id, CAST(round(1 - abs(list_inner_product(CAST(embedding AS DOUBLE[]), CAST({_QUERY_VECTOR} AS DOUBLE[]))) / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) * (SELECT list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) FROM embeddings WHERE vec_id = 7)), 6) AS DOUBLE) + 0 AS d FROM embeddings")
+def cosine_distances(spark: SparkSession, d: str) -> DataFrame:
+    """As a SQL function, over all vectors."""
+    V.register(spark)
+    rows = read(spark, d, "embeddings").selectExpr("vec_id", "cast(embedding AS array<double>) AS e")
+    one = rows.where("vec_id = 7").select(F.col("e").alias("q"))
+    return rows.join(F.broadcast(one.limit(1))).selectExpr("vec_id", "round(cosine_distance(e, q), 6) + 0 AS d")
+
+
+@query("SELECT TRUE AS reached")
 def vector_sign_prefilter(spark: SparkSession, d: str) -> DataFrame:
-    return hamming_top_k(read(spark, d, "embeddings"), "embedding", _vector(spark, d), 1, 100, "vec_id").select("vec_id")
+    """Sign bits choose 200 rows, ten of which are wanted: recall over ten queries."""
+    rows = read(spark, d, "embeddings")
+    return _recall(spark, d, lambda q, k: hamming_top_k(rows, "embedding", q, k, 200, "vec_id"), 10)
 
 
 @query("SELECT o_orderkey, COUNT(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
@@ -478,9 +509,11 @@ def as_of_join(spark: SparkSession, d: str) -> DataFrame:
     return events.unionByName(orders).withColumn("last_order", F.last("order_at", True).over(order)).where("side = 1 AND last_order IS NOT NULL").select("event_id", "last_order")
 
 
-@query()
+@query("SELECT 'o_orderpriority=' || o_orderpriority AS partition, CAST(2 AS BIGINT) AS versions, CAST(2 AS BIGINT) AS commits, CAST(8 AS BIGINT) AS files FROM orders GROUP BY o_orderpriority")
 def table_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return _orders(spark, d).statistics()
+    t = _orders(spark, d)
+    t.upsert(_tenth(read(spark, d, "orders")))
+    return t.statistics().select("partition", "versions", "commits", "files")
 
 
 @query("SELECT n_regionkey, n_name FROM nation WHERE n_regionkey = 1")
@@ -521,3 +554,252 @@ def sql_statements(spark: SparkSession, d: str) -> DataFrame:
     lake.sql("ALTER TABLE bought DROP PARTITION (o_orderpriority = '5-LOW')")
     lake.sql("CALL compaction(table => 'shop.bought')")
     return lake.sql("SELECT bought.o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM bought")
+
+
+_OR = "o_orderpriority = '2-HIGH' AND o_totalprice > 200000 OR o_custkey % 50 = 1"
+
+
+@query(f"SELECT {ORDERS} FROM orders WHERE {_OR}")
+def prune_with_or(spark: SparkSession, d: str) -> DataFrame:
+    return _orders(spark, d).read(_OR)
+
+
+@query(f"SELECT * FROM lineitem WHERE NOT (l_returnflag = 'R' AND l_quantity > 25 OR l_linenumber = 1)")
+def delete_with_or(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, read(spark, d, "lineitem"), ranges=["l_returnflag"])
+    t.delete("l_returnflag = 'R' AND l_quantity > 25 OR l_linenumber = 1")
+    return t.read()
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' AND l_quantity > 25 OR l_linenumber = 1 THEN -1 ELSE l_quantity END AS l_quantity, l_returnflag FROM lineitem")
+def update_with_or(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"), ranges=["l_returnflag"])
+    t.update({"l_quantity": "-1"}, "l_returnflag = 'R' AND l_quantity > 25 OR l_linenumber = 1")
+    return t.read()
+
+
+@query("SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem WHERE NOT (l_returnflag = 'A' AND l_linenumber > 3 OR l_orderkey % 5 = 0)")
+def sql_delete_with_or(spark: SparkSession, d: str) -> DataFrame:
+    lake = Catalog(spark, workspace(spark))
+    lake.create_table("lines", read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"), ranges=["l_returnflag"])
+    lake.sql("DELETE FROM lines WHERE l_returnflag = 'A' AND l_linenumber > 3 OR l_orderkey % 5 = 0")
+    return lake.sql("SELECT * FROM lines")
+
+
+def _levelled(spark: SparkSession, d: str, rounds: int) -> Table:
+    """A compacted base, then upserts of one column at a time, levelled after each round."""
+    rows = read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    t = table(spark, rows, keys=["o_orderkey"], buckets=2)
+    t.compact()
+    for i in range(rounds):
+        for j in range(2):
+            t.upsert(rows.where("o_orderkey % 3 = 0").select("o_orderkey", F.lit(f"{i}{j}").alias("o_orderstatus")))
+        t.upsert(rows.where("o_orderkey % 4 = 0").select("o_orderkey", F.lit(i).cast("long").alias("o_custkey")))
+        t.compact_levels(file_limit=2)
+    return t
+
+
+def _levelled_sql(rounds: int) -> str:
+    return f"SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN {rounds - 1} ELSE o_custkey END AS o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN '{rounds - 1}1' ELSE o_orderstatus END AS o_orderstatus FROM orders"
+
+
+@query(_levelled_sql(1))
+def compaction_levels_partial(spark: SparkSession, d: str) -> DataFrame:
+    return _levelled(spark, d, 1).read()
+
+
+@query(_levelled_sql(3))
+def compaction_levels_twice(spark: SparkSession, d: str) -> DataFrame:
+    return _levelled(spark, d, 3).read()
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 6 THEN 6 ELSE o_orderkey % 7 END AS o_custkey FROM orders WHERE o_orderkey % 7 > 0")
+def incremental_after_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Each key is upserted once after the start; compactions in between are nothing new."""
+    rows = read(spark, d, "orders").select("o_orderkey", "o_custkey")
+    t = table(spark, rows.where("o_orderkey % 7 = 0"), keys=["o_orderkey"], buckets=2)
+    then = t.log.latest(L.WHOLE).timestamp
+    for i in range(1, 7):
+        t.upsert(rows.where(f"o_orderkey % 7 = {i}").withColumn("o_custkey", F.lit(i).cast("long")))
+        t.compact_levels(file_limit=2)
+    return t.incremental(then + 1)
+
+
+@query("SELECT o_orderkey, COUNT(*) AS times FROM orders GROUP BY o_orderkey")
+def stream_after_levels(spark: SparkSession, d: str) -> DataFrame:
+    """A reader that polls between upserts and compactions gets every row once."""
+    rows = read(spark, d, "orders").select("o_orderkey")
+    t = table(spark, rows.where("o_orderkey % 5 = 0"), keys=["o_orderkey"], buckets=2)
+    out = Table.create(spark, f"{workspace(spark)}/t", rows.schema)
+    reader = S.ChangeReader(t)
+    S.copy_changes(t, out, "levels", reader)
+    for i in range(1, 5):
+        t.upsert(rows.where(f"o_orderkey % 5 = {i}"))
+        t.compact_levels(file_limit=2)
+        if i % 2:
+            S.copy_changes(t, out, "levels", reader)
+    S.copy_changes(t, out, "levels", reader)
+    return out.read().groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("times"))
+
+
+@query("SELECT 'aggregate' AS condition, TRUE AS refused UNION ALL SELECT 'random', TRUE UNION ALL SELECT 'subquery', TRUE UNION ALL SELECT 'plain', FALSE UNION ALL SELECT 'operator without keys', TRUE UNION ALL SELECT 'append with keys', TRUE")
+def refusals(spark: SparkSession, d: str) -> DataFrame:
+    """Conditions of upserts are deterministic and plain; merge operators and upserts are for tables with keys, appends for others."""
+    rows = read(spark, d, "nation").select("n_nationkey", "n_regionkey")
+    keyed, plain = table(spark, rows, keys=["n_nationkey"]), table(spark, rows)
+    tries = {
+        "aggregate": lambda: keyed.upsert(rows, "sum(n_regionkey) > 1"), "random": lambda: keyed.upsert(rows, "rand() < 0.5"), "subquery": lambda: keyed.upsert(rows, "n_nationkey IN (SELECT 1)"), "plain": lambda: keyed.upsert(rows, "n_nationkey > 3"),
+        "operator without keys": lambda: plain.read(operators={"n_regionkey": "sum_all"}), "append with keys": lambda: keyed.append(rows),
+    }
+    found = []
+    for name, run in tries.items():
+        try:
+            run()
+            found.append((name, False))
+        except TableError:
+            found.append((name, True))
+    return spark.createDataFrame(found, "condition string, refused boolean")
+
+
+@query("SELECT o_custkey, MAX(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey")
+def upsert_sorted_within_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Of the many rows of a key in one batch the last in the order of a further column wins."""
+    rows = read(spark, d, "orders").select("o_custkey", "o_orderkey")
+    t = Table.create(spark, f"{workspace(spark)}/t", rows.schema, keys=["o_custkey"], buckets=2)
+    t.upsert(rows, sort_also=["o_orderkey"])
+    return t.read()
+
+
+@query("SELECT 'o_orderpriority=' || o_orderpriority AS partition FROM orders GROUP BY o_orderpriority HAVING o_orderpriority <> '5-LOW'")
+def compaction_trigger(spark: SparkSession, d: str) -> DataFrame:
+    """Partitions with three versions since their last compaction."""
+    t = _orders(spark, d)
+    for _ in range(2):
+        t.upsert(_tenth(read(spark, d, "orders")))
+    t.compact("o_orderpriority = '5-LOW'")
+    return spark.createDataFrame([(p,) for p in t.needs_compaction(3)], "partition string")
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE FALSE UNION ALL SELECT c_custkey, 'kept' FROM customer WHERE c_custkey % 2 = 0")
+def expired_partitions(spark: SparkSession, d: str) -> DataFrame:
+    """Two days on, partitions with a time-to-live of a day are gone, but for the one written since."""
+    rows = read(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    t = table(spark, rows, ranges=["c_mktsegment"], properties={"partition.ttl": "1"})
+    late = max(t.log.now(p).timestamp for p in t.log.partitions()) + 86_400_000
+    while L.now_ms() <= late - 86_400_000:
+        pass
+    t.append(rows.where("c_custkey % 2 = 0").withColumn("c_mktsegment", F.lit("kept")))
+    t.expire(late + 1)
+    return t.read()
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'moved' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 7 <> 0 UNION ALL SELECT -1, 'theirs'")
+def export_upserts(spark: SparkSession, d: str) -> DataFrame:
+    """A table with changes goes to an embedded database, twice: rows of its keys are replaced or deleted, others stay."""
+    url = f"jdbc:derby:{workspace(spark).removeprefix('file://')};create=true"
+    rows = read(spark, d, "customer").select(F.col("c_custkey").cast("int").alias("c_custkey"), "c_mktsegment")
+    t = table(spark, rows.withColumn("kind", F.lit("insert")), keys=["c_custkey"], properties={"cdc_change_column": "kind"})
+    rows.limit(0).unionAll(spark.createDataFrame([(-1, "theirs")], rows.schema)).write.format("jdbc").option("url", url).option("dbtable", "shop").save()
+    export_jdbc(t, url, "shop", "upsert")
+    t.upsert(rows.where("c_custkey % 5 = 0").withColumns({"c_mktsegment": F.lit("moved"), "kind": F.lit("update")}))
+    t.upsert(rows.where("c_custkey % 7 = 0").withColumn("kind", F.lit("delete")))
+    export_jdbc(t, url, "shop", "upsert")
+    found = spark.read.format("jdbc").option("url", url).option("dbtable", "shop").load()
+    return found.toDF(*[c.lower() for c in found.columns])
+
+
+@query("SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, COUNT(*) AS n, MAX(value) AS most FROM events GROUP BY 1")
+def json_properties(spark: SparkSession, d: str) -> DataFrame:
+    parsed = F.from_json("props", T.StructType([T.StructField("k", T.LongType())]))
+    return read(spark, d, "events").groupBy(parsed["k"].alias("k")).agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("most"))
+
+
+@query("SELECT user_id, CAST(COUNT(DISTINCT event_type) AS INTEGER) AS kinds, SUM(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS clicks, COUNT(*) AS n FROM events GROUP BY user_id")
+def arrays_and_maps(spark: SparkSession, d: str) -> DataFrame:
+    """Events of a user as an array, counted by kind in a map."""
+    lists = read(spark, d, "events").groupBy("user_id").agg(F.collect_list("event_type").alias("all"))
+    kinds = F.array_distinct("all")
+    counted = F.map_from_arrays(kinds, F.transform(kinds, lambda k: F.size(F.filter("all", lambda x: x == k))))
+    return lists.select("user_id", F.size(kinds).alias("kinds"), F.coalesce(F.try_element_at(counted, F.lit("click")), F.lit(0)).cast("decimal(38,0)").alias("clicks"), F.size("all").cast("long").alias("n"))
+
+
+@query("SELECT p_partkey, CAST(p_size AS BIGINT) AS p_size, CAST(p_retailprice AS DOUBLE) AS p_retailprice, CAST(p_partkey AS VARCHAR) AS code FROM part UNION ALL SELECT p_partkey + 1000000, p_size, CAST(CAST(p_retailprice AS FLOAT) AS DOUBLE), p_brand FROM part")
+def cast_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Columns widen to the table's types as rows come in; what would lose something is refused, and the table stays."""
+    rows = read(spark, d, "part")
+    t = Table.create(spark, f"{workspace(spark)}/t", T.StructType.fromDDL("p_partkey bigint, p_size bigint, p_retailprice double, code string"))
+    t.append(rows.select("p_partkey", F.col("p_size").cast("short").alias("p_size"), "p_retailprice", F.col("p_partkey").alias("code")))
+    t.append(rows.select((F.col("p_partkey") + 1_000_000).alias("p_partkey"), F.col("p_size").cast("byte").alias("p_size"), F.col("p_retailprice").cast("float").alias("p_retailprice"), F.col("p_brand").alias("code")))
+    try:
+        t.append(rows.select("p_partkey", F.col("p_brand").alias("p_size"), "p_retailprice", F.col("p_brand").alias("code")))
+    except Exception:  # noqa: BLE001  a brand is no number, whoever finds out
+        return t.read()
+    raise AssertionError("a string became a number")
+
+
+@query(f"{TENTH} AND o_orderpriority = '1-URGENT'")
+def incremental_of_a_partition(spark: SparkSession, d: str) -> DataFrame:
+    t = _orders(spark, d)
+    then = max(t.log.now(p).timestamp for p in t.log.partitions())
+    t.upsert(_tenth(read(spark, d, "orders")))
+    return t.incremental(then + 1, 0, "o_orderpriority=1-URGENT")
+
+
+@query("SELECT 'embedding' AS name, 64 AS dim, 8 AS nlist, 1 AS bits, 'InnerProduct' AS metric UNION ALL SELECT 'w', 4, 256, 7, 'L2'")
+def index_configuration(spark: SparkSession, d: str) -> DataFrame:
+    found = VectorConfig.parse("embedding:64:8:1:InnerProduct:Matrix:5:true, w:4")
+    return spark.createDataFrame([(c.column, c.dim, c.nlist, c.bits, c.metric) for c in found], "name string, dim int, nlist int, bits int, metric string")
+
+
+@query("SELECT range + 1 AS o_orderkey, range * 15485863 % 500 + 1 AS o_custkey, ['F', 'O', 'P'][range * 31 % 3 + 1] AS o_orderstatus, (range * 32452843 % 50000000) / 100.0 AS o_totalprice FROM range(5000) WHERE range % 5 = 1 UNION ALL SELECT range // 4 + 1, range % 4 + 1, ['A', 'N', 'R'][range * 13 % 3 + 1], CAST(range * 6151 % 50 + 1 AS DOUBLE) FROM range(800)")
+def generator_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Table functions called in SQL, beside one as a DataFrame."""
+    generators.register(spark)
+    orders = spark.sql("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM make_orders(5000) WHERE (o_orderkey - 1) % 5 = 1")
+    lines = generators.generated(spark, "make_lines", 800)
+    return orders.unionAll(lines.select("l_orderkey", F.col("l_linenumber").cast("long"), "l_returnflag", F.col("l_quantity").cast("double")))
+
+
+@query("SELECT event_id, user_id, CASE WHEN user_id % 2 = 0 THEN 'new' ELSE c_mktsegment END AS c_mktsegment FROM events JOIN customer ON user_id = c_custkey WHERE event_id % 2 = 1 UNION ALL SELECT event_id, user_id, c_mktsegment FROM events JOIN customer ON user_id = c_custkey WHERE event_id % 2 = 0")
+def cached_lookup_join(spark: SparkSession, d: str) -> DataFrame:
+    """The dimension changes after the first batch and is seen once its time to live has passed; batches are committed once."""
+    now = [0.0]
+    people = read(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), "c_mktsegment")
+    dim = table(spark, people, keys=["user_id"])
+    cache = S.LookupCache(dim, ttl=60.0, clock=lambda: now[0])
+    events = read(spark, d, "events").select("event_id", "user_id")
+    out = Table.create(spark, f"{workspace(spark)}/t", T.StructType([*events.schema.fields, T.StructField("c_mktsegment", T.StringType())]))
+
+    def batch(n: int, rows: DataFrame) -> None:
+        for _ in range(2):  # the second is a replay
+            S.write_batch(out, rows.join(cache(), ["user_id"], "inner").select("event_id", "user_id", "c_mktsegment"), n, "lookup")
+
+    batch(0, events.where("event_id % 4 = 0"))
+    dim.upsert(people.where("user_id % 2 = 0").withColumn("c_mktsegment", F.lit("new")))
+    batch(1, events.where("event_id % 4 = 2"))
+    now[0] = 61.0
+    batch(2, events.where("event_id % 2 = 1"))
+    if cache.loads != 2:
+        raise AssertionError(f"the dimension was read {cache.loads} times")
+    return out.read()
+
+
+@query(f"SELECT {ORDERS} FROM orders WHERE o_orderkey % 10 <> 0 UNION ALL {TENTH}")
+def premerged_read(spark: SparkSession, d: str) -> DataFrame:
+    """Many small commits are merged before they are read."""
+    rows, t = _tenth(read(spark, d, "orders")), _orders(spark, d)
+    for i in range(6):
+        t.upsert(rows.where(f"o_orderkey % 60 = {10 * i}"))
+    out = t.read(premerge=4)
+    if max(len(t.log.now(p).snapshot) for p in t.log.partitions()) > 4:
+        raise AssertionError("nothing was merged")
+    return out
+
+
+@query("SELECT event_type, w AS window_start, COUNT(*) AS n FROM (SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS w FROM events) t WHERE w < (SELECT time_bucket(INTERVAL 1 HOUR, MAX(ts)) FROM events) - INTERVAL 10 MINUTE GROUP BY event_type, w HAVING w + INTERVAL 1 HOUR <= (SELECT MAX(ts) FROM events) - INTERVAL 10 MINUTE")
+def streamed_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of a stream, emitted once the watermark has passed them, in a keyed table."""
+    struct = T.StructType([T.StructField("event_type", T.StringType()), T.StructField("window_start", read(spark, d, "events").schema["ts"].dataType), T.StructField("n", T.LongType())])
+    t = Table.create(spark, f"{workspace(spark)}/t", struct)
+    _drained(spark, d, lambda s: S.write_stream(S.windowed_counts(s, "ts", "10 minutes", "1 hour", by=["event_type"]).select("event_type", "window_start", "n"), t, "windows"))
+    return t.read()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -74,23 +75,54 @@ def copy_changes(source: Table, target: Table, query_id: str, reader: ChangeRead
     return n
 
 
-def lookup_join(stream: DataFrame, dimension: Callable[[], DataFrame], on: list[str], sink: Callable[[DataFrame, int], None], how: str = "left", most: int | None = None) -> DataStreamWriter:
-    """Joins each micro-batch to the dimension as it is then. ``most`` distinct keys is an error, not a truncation."""
+class LookupCache:
+    """A dimension kept by Spark between micro-batches, and read again when it is older than ``ttl`` seconds or its table has
+    a new version. Blocks that are lost with an executor are read again from the table's files, of the same versions."""
+
+    def __init__(self, table: Table, condition: str | None = None, ttl: float = 3600.0, clock: Callable[[], float] = time.monotonic):
+        self.table, self.condition, self.ttl, self.clock = table, condition, ttl, clock
+        self.held: DataFrame | None = None
+        self.read_at, self.loads, self.versions = 0.0, 0, {}
+
+    def __call__(self) -> DataFrame:
+        now = self.clock()
+        if self.held is None or now - self.read_at >= self.ttl:
+            versions = {p: self.table.log.now(p).number for p in self.table.log.partitions()}
+            if self.held is None or versions != self.versions:
+                if self.held is not None:
+                    self.held.unpersist()
+                self.held, self.versions, self.loads = self.table.read(self.condition).persist(), versions, self.loads + 1
+            self.read_at = now
+        return self.held
+
+
+def lookup_join(stream: DataFrame, dimension: Callable[[], DataFrame], on: list[str], sink: Callable[[DataFrame, int], None] | Table, how: str = "left", most: int | None = None, query_id: str = "lookup") -> DataStreamWriter:
+    """Joins each micro-batch to the dimension as it is then (a :class:`LookupCache`, or any function that reads it).
+
+    A ``Table`` as sink gets each batch once, also when it is replayed. ``most`` distinct keys is an error, not a truncation.
+    """
 
     def each(batch: DataFrame, n: int) -> None:
         rows = dimension()
         if most is not None and rows.select(*on).distinct().limit(most).count() >= most:
             raise TableError(f"the dimension has {most} or more keys")
-        sink(batch.join(rows, on, how), n)
+        joined = batch.join(rows, on, how)
+        if isinstance(sink, Table):
+            write_batch(sink, joined.select(*sink.schema.fieldNames()), n, query_id)
+        else:
+            sink(joined, n)
 
     return stream.writeStream.foreachBatch(each)
 
 
 def windowed_counts(events: DataFrame, time_col: str, late: str, size: str, slide: str | None = None, by: list[str] | None = None) -> DataFrame:
-    """Counts by time window, for streams with a watermark and for batches."""
+    """Counts by time window, for streams with a watermark and for batches. A stream's watermark needs an instant: times without
+    a zone are taken in the session's zone, and windows are given back without one."""
+    plain = isinstance(events.schema[time_col].dataType, T.TimestampNTZType)
+    marked = events.withColumn(time_col, F.col(time_col).cast("timestamp")).withWatermark(time_col, late) if events.isStreaming else events
     window = F.window(time_col, size, slide) if slide else F.window(time_col, size)
-    marked = events.withWatermark(time_col, late) if events.isStreaming else events
-    return marked.groupBy(window.alias("w"), *(by or [])).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *(by or []), "n")
+    kind = "timestamp_ntz" if plain else "timestamp"
+    return marked.groupBy(window.alias("w"), *(by or [])).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").cast(kind).alias("window_start"), F.col("w.end").cast(kind).alias("window_end"), *(by or []), "n")
 
 
 def sessions(events: DataFrame, time_col: str, gap: str, by: list[str]) -> DataFrame:
@@ -102,12 +134,14 @@ def sessions(events: DataFrame, time_col: str, gap: str, by: list[str]) -> DataF
 def ingest_topics(catalog: Catalog, batch: DataFrame, batch_id: int, schemas: dict[str, T.StructType], query_id: str, keys: dict[str, list[str]] | None = None) -> list[str]:
     """One micro-batch of (topic, value): JSON rows go to a table for each topic, made and widened as needed."""
     done = []
+    batch = batch.where(F.col("topic").isin(sorted(schemas))).select("topic", "value").persist()  # each topic is a look at the cache, not at the source
     for topic, struct in sorted(schemas.items()):
         rows = batch.where(F.col("topic") == topic).select(F.from_json(F.col("value").cast("string"), struct).alias("r")).select("r.*")
         name = topic.replace(".", "_").replace("-", "_").lower()
         table = catalog.create_table(name, struct, keys=(keys or {}).get(topic, []), if_not_exists=True)
         if write_batch(table, rows, batch_id, f"{query_id}/{topic}", merge_schema=True):
             done.append(name)
+    batch.unpersist()
     return done
 
 

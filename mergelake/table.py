@@ -304,11 +304,14 @@ class Table:
     def partitions_for(self, condition: str | None) -> list[str]:
         return prune(self.spark, self.info.struct, self.info.ranges, self.log.partitions(), condition)
 
-    def read(self, condition: str | None = None, keep_deleted: bool = False, operators: dict[str, str] | None = None, skip_merge: bool = False, buckets: tuple[int, int] | None = None) -> DataFrame:
+    def read(self, condition: str | None = None, keep_deleted: bool = False, operators: dict[str, str] | None = None, skip_merge: bool = False, buckets: tuple[int, int] | None = None, premerge: int | None = None) -> DataFrame:
         """The current rows. A condition prunes partitions, and is applied after the merge.
 
+        With ``premerge``, partitions where as many small commits have gathered are merged by level before they are read.
         ``skip_merge`` gives the rows as written. Equalities on a single key prune buckets, in the scan, either way.
         """
+        if premerge and self.info.keys:
+            self.compact_levels(premerge)
         where = self.partitions_for(condition) if condition else None
         df = self._finished(self._load(self._latest(where), not skip_merge, operators, buckets), keep_deleted)
         return df.where(condition) if condition else df
