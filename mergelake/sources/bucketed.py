@@ -7,15 +7,20 @@ aggregates and joins on the keys then need no exchange, and equalities on a sing
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Local folders that the driver lists itself.
+LISTED_HERE = 2048
+
 
 def _seq(spark: SparkSession, items: Sequence):
     held = spark._jvm.java.util.ArrayList()
@@ -48,6 +53,19 @@ def write(df: DataFrame, folder: str, partitions: Sequence[str], keys: Sequence[
         spark.sql(f"DROP TABLE IF EXISTS {name}")  # external: the files stay
 
 
+@contextlib.contextmanager
+def _listed_here(spark: SparkSession, paths: Sequence[str]) -> Iterator[None]:
+    """Local folders are listed by the driver: a job for it, as stores far away deserve, takes longer than the listing."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.threshold"
+    before = spark.conf.get(name)
+    if all(urlsplit(p).scheme in ("", "file") for p in paths):
+        spark.conf.set(name, str(max(int(before), LISTED_HERE)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def read(spark: SparkSession, paths: Sequence[str], base: str, data: T.StructType, partitions: T.StructType, keys: Sequence[str], buckets: int) -> DataFrame:
     """The rows of ``paths`` (folders or files below ``base``) with columns ``data`` and, from folder names, ``partitions``."""
     jvm, session = spark._jvm, spark._jsparkSession
@@ -57,7 +75,10 @@ def read(spark: SparkSession, paths: Sequence[str], base: str, data: T.StructTyp
     named.put("basePath", base)
     options = getattr(jvm.scala.collection.immutable.Map, "from")(jvm.scala.jdk.javaapi.CollectionConverters.asScala(named))
     cache = getattr(getattr(sources, "NoopCache$"), "MODULE$")
-    index = sources.InMemoryFileIndex(session, _seq(spark, [jvm.org.apache.hadoop.fs.Path(p) for p in paths]), options, jvm.scala.Option.apply(struct(partitions)), cache, nothing, nothing)
+    make = jvm.org.apache.hadoop.fs.Path  # a look-up for each part of the name, so once
+    roots = _seq(spark, [make(p) for p in paths])
+    with _listed_here(spark, paths):
+        index = sources.InMemoryFileIndex(session, roots, options, jvm.scala.Option.apply(struct(partitions)), cache, nothing, nothing)
     spec = jvm.org.apache.spark.sql.catalyst.catalog.BucketSpec(buckets, _seq(spark, keys), _seq(spark, keys))
     relation = sources.HadoopFsRelation(index, index.partitionSchema(), struct(data), jvm.scala.Option.apply(spec), sources.parquet.ParquetFileFormat(), options, session)
     return DataFrame(session.baseRelationToDataFrame(relation), spark)

@@ -5,7 +5,8 @@
     spark.readStream.format("mergelake").load(path)
 
 A task reads the files of one bucket of one partition with Arrow and keeps the last value of each column by key, so a
-bucket has to fit into a worker's memory; ``Table.read`` has no such bound and knows all merge operators. A stream's
+bucket has to fit into a worker's memory; ``Table.read`` has no such bound and knows all merge operators. With the
+option ``push_filters`` equalities over range and key columns are applied before the merge. A stream's
 offset is the version of every partition; its batches hold what was committed in between, deletes included.
 """
 
@@ -21,9 +22,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegralType, StringType, StructType
 
 from mergelake.operators import log as L
 
@@ -58,10 +59,17 @@ class _Reading:
     def __init__(self, path: str, schema: StructType, options: dict):
         self.path, self.schema, self.options = path, schema, options
         self.meta = _meta(path)
+        #: Values that range or key columns may have, from filters; other columns are filtered after the merge, by Spark.
+        self.wanted: dict[str, set] = {}
+
+    def may_hold(self, parts: dict[str, str | None]) -> bool:
+        return all(c not in parts or parts[c] in {str(v) for v in values} for c, values in self.wanted.items())
 
     def buckets(self, chosen: dict[str, list[str]]) -> list[Bucket]:
         log, out = L.Log(ReadStore(self.path)), {}
         for p, ids in chosen.items():
+            if not self.may_hold(L.partition_values(p)):
+                continue
             for _, f in log.active(p, ids):
                 out.setdefault((p, f.bucket if self.meta["keys"] else f.path), []).append((f.path, f.columns))
         return [Bucket(files) for _, files in sorted(out.items())]
@@ -71,7 +79,11 @@ class _Reading:
         keys, tables = self.meta["keys"], []
         for path, columns in partition.files:
             parts = {k[2:]: unquote(v) for k, _, v in (x.partition("=") for x in path.split("/")[2:-1])}
-            raw = pq.read_table(f"{store.base}/{path}", filesystem=store.system, partitioning=None)
+            file = pq.ParquetFile(store.system.open_input_file(f"{store.base}/{path}"))
+            raw = file.read([n for n in file.schema_arrow.names if n in target.names])
+            for key in keys:
+                if key in self.wanted:
+                    raw = raw.filter(pc.is_in(raw[key], value_set=pa.array(sorted(self.wanted[key]), raw[key].type)))
             arrays = []
             for f in target:
                 if f.name in parts:
@@ -131,6 +143,20 @@ class TableReader(_Reading, DataSourceReader):
             yield batch
 
 
+class FilteredReader(TableReader):
+    """With ``option("push_filters", "true")``; Spark refuses such readers unless ``spark.sql.python.filterPushdown.enabled``."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Equalities and IN lists over range and key columns leave out partitions and rows before the merge; Spark applies all again."""
+        below = {f.name for f in self.schema.fields if f.name in (*self.meta["ranges"], *self.meta["keys"]) and isinstance(f.dataType, (StringType, IntegralType))}
+        for f in filters:
+            if isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 and f.attribute[0] in below:
+                values = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                if None not in values:
+                    self.wanted[f.attribute[0]] = self.wanted.get(f.attribute[0], values) & values
+            yield f
+
+
 class TableStreamReader(_Reading, DataSourceStreamReader):
     def initialOffset(self) -> dict:
         return {}
@@ -158,7 +184,8 @@ class TableSource(DataSource):
         return StructType([f for f in StructType.fromJson(json.loads(meta["schema"])).fields if f.name not in dropped])
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return TableReader(self.options["path"], schema, dict(self.options))
+        kind = FilteredReader if self.options.get("push_filters", "").lower() == "true" else TableReader
+        return kind(self.options["path"], schema, dict(self.options))
 
     def streamReader(self, schema: StructType) -> DataSourceStreamReader:
         return TableStreamReader(self.options["path"], schema, dict(self.options))

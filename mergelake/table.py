@@ -223,8 +223,7 @@ class Table:
             return raw.select(*[F.col(f"`{f.name}`") if f.name not in info.ranges else back[info.ranges.index(f.name)] for f in struct.fields], *([F.col("_metadata.file_path").alias("_file")] if with_file else []))
         if not operators and (split := self._base_and_deltas(snapshots, files)):
             return self._over_base(snapshots, *split, buckets)
-        place = self._places(files)
-        seq = F.shiftleft(place.cast("long"), 40).bitwiseOR(F.col("_metadata.row_index"))
+        seq = F.struct(self._places(files), F.col("_metadata.row_index"))
         rows = raw.select(*[F.col(f"`{f.name}`") for f in data.fields], *back, F.col("commit").alias(merging.FILE), seq.alias(merging.SEQ))
         columns = {f.name: (operators.get(f.name, "use_last"), f.dataType, self._has(f.name, files)) for f in data.fields if f.name not in info.keys}
         if unknown := set(operators) - set(columns):
@@ -272,24 +271,21 @@ class Table:
         return sorted(out)
 
     def _places(self, files: list[tuple[str, int, L.DataFile]]) -> Column:
-        """The place of a row's commit in its partition's snapshot: one number for each commit if all partitions agree on the order."""
+        """What orders a row's commit in its partition's snapshot: the commit's name, which begins with its time, where all
+        snapshots are in that order; a place by name and partition where compactions of some commits have come between."""
         chains: dict[str, list[str]] = {}
-        for p, place, f in files:
+        for p, _, f in files:
             own = chains.setdefault(p, [])
             commit = f.path.split("/")[1].removeprefix("commit=")
-            if commit not in own:
+            if not own or own[-1] != commit:
                 own.append(commit)
-        order = {c: i for i, c in enumerate(sorted({c for own in chains.values() for c in own}))}
-        if all(order[a] < order[b] for own in chains.values() for a, b in zip(own, own[1:], strict=False)):
-            key, places = F.col("commit"), order
-        else:
-            ranges = self.info.ranges
-            key = F.concat_ws("\x01", "commit", *[f"p_{r}" for r in ranges])
-            code = lambda v: L.NULL if v is None else L.EMPTY if v == "" else v
-            places = {"\x01".join([c, *[code(L.partition_values(p).get(r)) for r in ranges]]): i for p, own in chains.items() for i, c in enumerate(own)}
-        if len(places) == 1:
-            return F.lit(0)
-        return F.element_at(F.create_map(*[F.lit(x) for pair in places.items() for x in pair]), key)
+        if all(a < b for own in chains.values() for a, b in zip(own, own[1:], strict=False)):
+            return F.col("commit")
+        ranges = self.info.ranges
+        code = lambda v: L.NULL if v is None else L.EMPTY if v == "" else v
+        places = [("\x01".join([c, *[code(L.partition_values(p).get(r)) for r in ranges]]), i) for p, own in chains.items() for i, c in enumerate(own)]
+        names, numbers = F.lit([n for n, _ in places]), F.lit([i for _, i in places])
+        return F.element_at(F.map_from_arrays(names, numbers), F.concat_ws("\x01", "commit", *[f"p_{r}" for r in ranges]))
 
     @staticmethod
     def _has(name: str, files: list[tuple[str, int, L.DataFile]]) -> Column | None:

@@ -332,6 +332,11 @@ def test_format_by_path(spark, keyed, tmp_path):
     keyed.upsert(spark.createDataFrame([(20201101, 2)], "range int, hash int"))  # lacks value
     assert rows(spark.read.format("mergelake").load(keyed.path)) == rows(keyed.read())
 
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    for text in ("range = 20201102", "hash IN (1, 9)", "hash = 2 AND value > 0", "value = 11", "range = 1"):
+        assert rows(spark.read.format("mergelake").option("push_filters", "true").load(keyed.path).where(text)) == rows(keyed.read(text)), text
+    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
     out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
 
     def drain():
@@ -345,6 +350,35 @@ def test_format_by_path(spark, keyed, tmp_path):
     assert rows(drain().subtract(spark.createDataFrame([(20201102, 4, 4)], SCHEMA)).where("hash = 4")) == [(20201102, 4, 44)]
 
 
+@pytest.mark.parametrize(("bits", "metric", "rotator"), [(1, "L2", "FhtKac"), (4, "InnerProduct", "FhtKac"), (7, "L2", "Matrix")])
+def test_vector_codes_and_lists(spark, tmp_path, bits, metric, rotator):
+    """Every place has lists of its own; a partition can be searched alone; estimates choose what exact distances then rank."""
+    import numpy as np
+
+    from mergelake.operators.vectors import Quantiser, VectorIndex
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(600, 24))
+    config = VectorConfig("v", 24, nlist=8, bits=bits, metric=metric, rotator=rotator)
+    q = Quantiser(config)
+    codes, length, inverse, offset = q.encode(x, q.rotate(np.zeros((1, 24))).repeat(600, 0))
+    estimated = length * inverse * (q.vectors(codes) @ q.rotate(x[:1])[0])
+    error = np.abs(estimated - x @ x[0]).std() / (x @ x[0]).std()
+    assert error < {1: 0.9, 4: 0.15, 7: 0.02}[bits]
+    assert (q.unpack(q.pack(codes)) == codes).all()
+    df = spark.createDataFrame([(i, v.tolist(), f"p{i % 2}", i % 3) for i, v in enumerate(x)] + [(900, None, "p0", 0), (901, [1.0], "p0", 0)], "k long, v array<double>, part string, bucket int")
+    index = VectorIndex(spark, f"file://{tmp_path}/v", config, "k")
+    index.build(df.where("k < 500 OR k >= 900"))
+    index.insert(df.where("k >= 500 AND k < 900").withColumn("bucket", F.col("bucket") + F.when(F.col("k") > 580, 3).otherwise(0)))  # also places that are new
+    near = x @ x[3] if metric == "InnerProduct" else -((x - x[3]) ** 2).sum(1)
+    want = [int(i) for i in np.argsort(-near)[:10]]
+    assert [r["k"] for r in index.search(x[3].tolist(), 10, nprobe=8, rerank=60).collect()] == want
+    half = [int(i) for i in np.argsort(-near) if i % 2][:10]
+    assert [r["k"] for r in index.search(x[3].tolist(), 10, nprobe=8, part="p1", rerank=60).collect()] == half
+    some = {r["k"] for r in index.search(x[3].tolist(), 10, nprobe=4).collect()}
+    assert len(some) == 10 and len(some & set(want)) >= 4
+
+
 def test_unknown_vector_metrics_are_rejected(spark):
     """Cosine would rank by the raw product, which is wrong for vectors of unequal length."""
     from mergelake.operators.vectors import exact_top_k
