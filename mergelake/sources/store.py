@@ -55,6 +55,11 @@ class Store:
         if not self.local:
             self._path = spark._jvm.org.apache.hadoop.fs.Path
             self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+            hadoop = spark._jvm.org.apache.hadoop.fs
+            self._context = hadoop.FileContext.getFileContext(self._fs.getUri(), spark._jsc.hadoopConfiguration())
+            kind = getattr(hadoop, "Options$Rename")
+            self._never = spark.sparkContext._gateway.new_array(kind, 1)
+            self._never[0] = kind.NONE
             self._io = spark._jvm.org.apache.commons.io.IOUtils
 
     def uri(self, *parts: str) -> str:
@@ -68,12 +73,11 @@ class Store:
         return os.path.exists(self._at(*parts)) if self.local else self._fs.exists(self._at(*parts))
 
     def names(self, *parts: str) -> list[str]:
-        """Sorted names in a folder; none if it is absent."""
+        """Sorted names in a folder, but for what is still being written; none if it is absent."""
         if not self.exists(*parts):
             return []
-        if self.local:
-            return sorted(os.listdir(self._at(*parts)))
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._at(*parts)))
+        names = os.listdir(self._at(*parts)) if self.local else [s.getPath().getName() for s in self._fs.listStatus(self._at(*parts))]
+        return sorted(n for n in names if not n.startswith(".") and not n.endswith(".tmp"))
 
     def files(self, *parts: str) -> list[tuple[str, int]]:
         """(path below the root, bytes) of all data files below a folder."""
@@ -116,14 +120,17 @@ class Store:
             finally:
                 os.unlink(own)
             return True
+        own = self._at(f"{'/'.join(parts[:-1])}/.{parts[-1]}.{uuid.uuid4().hex}.tmp")
+        out = self._fs.create(own, False)
+        out.write(bytearray(data.encode()))
+        out.close()
         try:
-            out = self._fs.create(self._at(*parts), False)
+            self._context.rename(own, self._at(*parts), self._never)  # fails where there is something, so readers see a whole file or none
         except Exception as e:  # noqa: BLE001  py4j hides the Java class
+            self._fs.delete(own, False)
             if "AlreadyExists" in str(e) or "already exists" in str(e):
                 return False
             raise
-        out.write(bytearray(data.encode()))
-        out.close()
         return True
 
     def delete(self, *parts: str) -> None:

@@ -312,3 +312,27 @@ def test_update_looks_once(spark, make):
     t.update({"v": "v + 1"}, "k = 101")
     after = {f.path for _, f in t.log.active("-5", t.log.latest("-5").snapshot)}
     assert len(before - after) == 1 and rows(t.read("k >= 100")) == [(100, 0), (101, 2), (102, 2)]
+
+
+# stores
+
+
+def test_hadoop_store(spark, tmp_path, monkeypatch):
+    """Tables on a store that is reached through Hadoop alone, as any remote one is."""
+    plain = Store.__init__
+
+    def remote(self, spark, root):
+        monkeypatch.setattr("mergelake.sources.store.urlsplit", lambda p: type("S", (), {"scheme": "far", "path": p})())
+        plain(self, spark, root)
+        monkeypatch.undo()
+
+    store = Store.__new__(Store)
+    remote(store, spark, f"file://{tmp_path}/s")
+    assert not store.local and store.names("x") == []
+    assert store.create({"a": 1}, "x", "y.json") and not store.create({"a": 2}, "x", "y.json")
+    assert store.read("x", "y.json") == {"a": 1} and store.names("x") == ["y.json"] and store.exists("x", "y.json")
+    spark.range(3).write.parquet(f"file://{tmp_path}/s/data/commit=1")
+    assert [p.startswith("data/commit=1/part-") and n > 0 for p, n in store.files("data")].count(True) == len(store.files("data")) > 0
+    store.move("x/y.json", "z/w.json")
+    store.delete("z", "w.json")
+    assert not store.exists("z", "w.json") and store.names("x") == []
