@@ -68,16 +68,23 @@ def crc32_remainder(column: Column, divisor: int) -> Column:
     return F.crc32(column.cast("string").cast("binary")) % divisor
 
 
-def map_arrow(df: DataFrame, function, schema: T.StructType) -> DataFrame:
-    """``mapInArrow`` of a function from a batch to a table or None (nothing)."""
-    wanted = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in schema.fields])
+#: Rows of a batch that a function gets at once: bounds what a worker holds as Python objects.
+SLICE = 1024
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := function(batch)) is not None:
+def applied(batches: Iterator[pa.RecordBatch], function, schema: T.StructType) -> Iterator[pa.RecordBatch]:
+    """``function`` (from a batch to a mapping of columns, or None) on slices of batches, as batches of ``schema``."""
+    wanted = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in schema.fields])
+    for whole in batches:
+        for a in range(0, whole.num_rows, SLICE):
+            if (out := function(whole.slice(a, SLICE))) is not None:
                 yield pa.RecordBatch.from_arrays([_cast(out[f.name], f.type) for f in wanted], schema=wanted)
+    pa.default_memory_pool().release_unused()  # workers live on: what this task does not need is given back
+
 
-    return df.mapInArrow(run, schema)
+def map_arrow(df: DataFrame, function, schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` of a function from a batch to a table or None (nothing)."""
+    return df.mapInArrow(lambda batches: applied(batches, function, schema), schema)
 
 
 def _cast(values, kind: pa.DataType) -> pa.Array:

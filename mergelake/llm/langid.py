@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mergelake.llm.common import crc32_remainder, field, map_arrow
+from mergelake.llm.common import SLICE, crc32_remainder, field, map_arrow
 
 DIMENSIONS = 1024
 ORDER = 3
@@ -189,9 +189,12 @@ def keep_identified(docs: DataFrame, prototypes: dict[str, np.ndarray], least_sc
     predict = _predictor(prototypes, dimensions, order, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, scores = predict(batch.column(text_col).to_pylist())
-            yield batch.filter(pa.array([n != UNKNOWN and s >= least_score for n, s in zip(names, scores, strict=True)], pa.bool_()))
+        for whole in batches:
+            for a in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(a, SLICE)
+                names, scores = predict(batch.column(text_col).to_pylist())
+                yield batch.filter(pa.array([n != UNKNOWN and s >= least_score for n, s in zip(names, scores, strict=True)], pa.bool_()))
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, docs.schema)
 

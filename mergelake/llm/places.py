@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mergelake.llm.common import scratch_path
+from mergelake.llm.common import applied, scratch_path
 
 #: Rows of a data file whose verdicts lie together.
 BLOCK = 1 << 20
@@ -46,10 +46,12 @@ def placed(docs: DataFrame, name: str) -> DataFrame:
     return docs.withColumn(name, F.concat(file, F.lpad(row.cast("string"), 12, "0")))
 
 
-def taken(docs: DataFrame, verdicts: DataFrame, place: str, times: str | None = None) -> DataFrame:
+def taken(docs: DataFrame, verdicts: DataFrame, place: str, times: str | None = None, columns: list[str] | None = None, function=None, schema: T.StructType | None = None) -> DataFrame:
     """The rows of ``docs`` (read from Parquet files) whose place ``verdicts`` names, or each as often as its ``times`` (0 to 255) says.
 
-    Places must not repeat. Columns and their order are those of ``docs``; its rows stay in their partitions.
+    Places must not repeat. Columns and their order are those of ``docs``, or ``columns``; rows stay in their
+    partitions. With a ``function`` (see :func:`mergelake.llm.common.applied`) its batches of ``schema`` come instead,
+    from the same worker.
     """
     spark = docs.sparkSession
     folder = scratch_path(spark, "verdicts")
@@ -71,7 +73,8 @@ def taken(docs: DataFrame, verdicts: DataFrame, place: str, times: str | None =
     entries.groupBy("file", "block").applyInArrow(write, done).agg(F.sum("rows")).first()
     names = [free_name(docs, n) for n in ("place_file", "place_row")]
     file, row = _file_and_row(docs)
-    wanted, columns = docs.schema, len(docs.columns)
+    kept = columns or docs.columns
+    width = len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = fs.FileSystem.from_uri(folder)
@@ -92,13 +95,17 @@ def taken(docs: DataFrame, verdicts: DataFrame, place: str, times: str | None =
         for whole in batches:
             for a in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(a, SLICE)
-                files, at = batch.column(columns).dictionary_encode(), batch.column(columns + 1).to_numpy()
+                files, at = batch.column(width).dictionary_encode(), batch.column(width + 1).to_numpy()
                 n = np.zeros(len(at), np.uint8)
                 for i, name in enumerate(files.dictionary.to_pylist()):
                     own = np.flatnonzero(files.indices.to_numpy() == i)
                     n[own] = verdict(name, at[own])
                 if n.any():
-                    rows = batch.select(list(range(columns)))
+                    rows = batch.select(list(range(width)))
                     yield rows if (n == 1).all() else rows.take(pa.array(np.repeat(np.arange(len(n)), n)))
+        pa.default_memory_pool().release_unused()
 
-    return docs.withColumns({names[0]: file, names[1]: row}).mapInArrow(run, wanted)
+    rows = docs.withColumns({names[0]: file, names[1]: row}).select(*[F.col(f"`{c}`") for c in kept], *names)
+    if function:
+        return rows.mapInArrow(lambda batches: applied(run(batches), function, schema), schema)
+    return rows.mapInArrow(run, T.StructType([docs.schema[c] for c in kept]))

@@ -9,8 +9,8 @@ the task as a spanning forest, so a dense group yields as many edges as it has m
 
 Documents whose shingle sets have a Jaccard similarity of 0.8 differ in some 10 of 64 bits, and in up to 24. No chain of
 segments is a key at that budget: the second link alone would need thousands of keys a document. There,
-:func:`similar_documents` takes as candidates those that share a band of least shingle hashes; the chains, and then
-the full Hamming check, prune them before the exact similarity decides.
+:func:`similar_documents` takes as candidates those that share a band of least shingle hashes; the chains, the full
+Hamming check and sketches of the shingle sets prune them before the exact similarity decides.
 """
 
 from __future__ import annotations
@@ -31,8 +31,10 @@ WIDTHS = (13, 13, 13, 13, 12)
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 #: Members of one key that are compared at once.
 BLOCK = 2048
-#: Members of one key whose pairs are listed at once.
-PAIRED = 512
+#: Members of one key whose pairs are listed at once, and among which its lead is chosen.
+PAIRED, FIRST = 512, 65_536
+#: Bins of a sketch, a power of two: the standard error of a similarity of 0.8 is 0.025.
+SKETCH = 256
 #: Members of a key, own or flipped, from which they are dealt out over pairs of chunks of half that size.
 HOT = 8192
 #: Bands and least hashes in each: a pair of similarity 0.8 shares none of the bands in 2 of 10,000 cases.
@@ -280,26 +282,94 @@ def chained(x: np.ndarray, y: np.ndarray, budget: int = SIMILAR_BITS) -> np.ndar
     return ok
 
 
-_band = T.StructType([T.StructField("key", T.LongType()), T.StructField("cell", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("bits", T.LongType())])
 _pair = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
 
 
-def _leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (key, node, bits, lead, lead_bits): the pairs of node and lead that the chains let through."""
+def sketch(hashes: np.ndarray) -> bytes:
+    """A byte for each of ``SKETCH`` bins of the hash range: of its least hash, never 0; 0 for a bin without any."""
+    out = np.zeros(SKETCH, np.uint8)
+    if len(hashes):
+        ordered = np.sort(hashes)
+        bins = (ordered >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], bins[1:] != bins[:-1]]))
+        out[bins[first]] = 1 + (ordered[first] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(255)
+    return out.tobytes()
+
+
+def may_be_similar(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """For pairs of sketches whether the share of equal bins is no more than 4.5 standard errors below ``least``."""
+    out = np.empty(len(x), bool)
+    for a in range(0, len(x), 8192):
+        p, q = x[a : a + 8192], y[a : a + 8192]
+        some = np.maximum(((p | q) > 0).sum(1), 1)
+        same = ((p == q) & (p > 0)).sum(1)
+        out[a : a + 8192] = same / some >= least - 4.5 * np.sqrt(least * (1 - least) / some)
+    return out
+
+
+_shared = T.StructType([T.StructField("key", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("bits", T.LongType()), T.StructField("lead", T.BinaryType()), T.StructField("lead_bits", T.LongType())])
+
+
+def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (key, node, bits) sorted by key and node, for keys with two nodes or more: each node beside the key's lead.
+
+    The lead is the node nearest to the majority of the fingerprints, which of a text and its variants is the text. It is
+    chosen among the first ``FIRST`` nodes of a key; what follows is only put beside it, so a key of any size streams.
+    """
+    held: list[pa.RecordBatch] = []
+    rows, key, lead = 0, None, None
+
+    def beside(part: pa.Table) -> pa.RecordBatch:
+        n = len(part)
+        return pa.RecordBatch.from_arrays([part["key"].combine_chunks(), part["node"].combine_chunks(), part["bits"].combine_chunks(), pa.array([lead[0]] * n, pa.binary()), pa.array(np.full(n, lead[1], np.int64))], _shared.names)
+
+    def choose() -> Iterator[pa.RecordBatch]:
+        nonlocal lead, held, rows
+        part = pa.Table.from_batches(held)
+        held, rows = [], 0
+        if len(part) > 1 or lead:
+            if not lead:
+                bits = part["bits"].to_numpy()
+                middle = np.uint64(majority_bits(bits.view(np.uint64)))
+                at = int(np.argmin(np.bitwise_count(bits.view(np.uint64) ^ middle)))
+                lead = (part["node"][at].as_py(), int(bits[at]))
+            yield beside(part)
+
+    for batch in batches:
+        keys = batch.column(0).to_numpy()
+        cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if key is not None and keys[a] != key:
+                if held:
+                    yield from choose()
+                lead = None
+            key = int(keys[a])
+            held.append(batch.slice(a, b - a))
+            rows += b - a
+            if rows >= FIRST:
+                yield from choose()
+    if held:
+        yield from choose()
+
+
+def _chained_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (node, bits, lead, lead_bits): the pairs of lead and node that the chains let through, the lesser first."""
     for batch in batches:
         x, y = (batch.column(c).to_numpy().view(np.uint64) for c in ("bits", "lead_bits"))
         kept = pa.array(np.flatnonzero(chained(x, y)))
-        yield pa.RecordBatch.from_arrays([batch.column("lead").take(kept), batch.column("node").take(kept)], _pair.names)
+        one, two = batch.column("lead").take(kept).to_pylist(), batch.column("node").take(kept).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array(list(map(min, one, two)), pa.binary()), pa.array(list(map(max, one, two)), pa.binary())], _pair.names)
 
 
-def _across(one: bool):
-    """Of (key, cell, node, bits, root, side, lead) sorted by key and cell: pairs of a left and a right node with different
-    roots that the chains let through, without the lead's, which were looked at before; if ``one``, of two roots the nearest pair."""
+def _across(least: float):
+    """Of (key, cell, node, bits, sketch, root, side, lead) sorted by key and cell: pairs of a left and a right node with
+    different roots that the chains and then the sketches let through, without the lead's, which were looked at before."""
 
     def pairs(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
         bits, sides, leads = table["bits"].to_numpy().view(np.uint64), table["side"].to_numpy(), table["lead"].to_numpy(zero_copy_only=False)
         roots, nodes = table["root"].combine_chunks().dictionary_encode().indices.to_numpy(), table["node"].combine_chunks()
-        names = np.array(nodes.to_pylist(), object)
+        sketches = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             left, right = a + np.flatnonzero(sides[a:b] & LEFT), a + np.flatnonzero(sides[a:b] & RIGHT)
             for s in range(0, len(left), PAIRED):
@@ -309,15 +379,12 @@ def _across(one: bool):
                     i, j = i[at], j[to]
                     kept = chained(bits[i], bits[j])
                     i, j = i[kept], j[kept]
-                    if one and len(i):
-                        lower, upper = np.minimum(roots[i], roots[j]), np.maximum(roots[i], roots[j])
-                        order = np.lexsort((np.bitwise_count(bits[i] ^ bits[j]), upper, lower))
-                        first = np.concatenate([[True], (np.diff(lower[order]) != 0) | (np.diff(upper[order]) != 0)])
-                        i, j = i[order[first]], j[order[first]]
-                    if len(i):
-                        x, y = names[i], names[j]
-                        swap = x > y
-                        yield pa.RecordBatch.from_arrays([pa.array(np.where(swap, y, x).tolist(), pa.binary()), pa.array(np.where(swap, x, y).tolist(), pa.binary())], _pair.names)
+                    kept = may_be_similar(sketches[i], sketches[j], least)
+                    found.append((i[kept], j[kept]))
+        i, j = (np.concatenate([f[n] for f in found] or [np.empty(0, np.int64)]) for n in (0, 1))
+        for a in range(0, len(i), 65_536):
+            one, two = nodes.take(pa.array(i[a : a + 65_536])).to_pylist(), nodes.take(pa.array(j[a : a + 65_536])).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(list(map(min, one, two)), pa.binary()), pa.array(list(map(max, one, two)), pa.binary())], _pair.names)
 
     return lambda batches: by_group(batches, 2, pairs)
 
@@ -335,22 +402,23 @@ def similar_documents(docs: DataFrame, id_col: str, text_col: str = "text", word
     texts are compared whole. Ids must be unique and not null. An empty table gives an empty result. Other columns are
     ignored.
 
-    Nodes that share a band are first compared with the band's least node, then, of what is still in different
-    components, the nearest pair of two components, then every pair: pairs leave a task only if the chains let them
-    through, and links are only those with the exact similarity. ``pick`` gives the rows of ``docs`` with some ids (a
-    column of that name), where the caller knows a cheaper way than a join.
+    Nodes that share a band are first compared with the band's lead, the node in their middle; then, of what is still in
+    different components, every two of a band: those pairs leave a task only if the chains, and then sketches of their
+    shingle sets, let them through. Links are only pairs with the exact similarity. ``pick`` maps the texts of the rows with some ids
+    (a column of that name) by a function to a schema, where the caller knows a cheaper way than a join.
     """
-    pick = pick or (lambda ids: docs.join(ids, id_col, "left_semi"))
-    mark_schema = T.StructType([field(docs, id_col, "id"), T.StructField("node", T.BinaryType()), T.StructField("bits", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    pick = pick or (lambda ids, function, schema: map_arrow(docs.join(ids, id_col, "left_semi").select(text_col), function, schema))
+    mark_schema = T.StructType([field(docs, id_col, "id"), T.StructField("node", T.BinaryType()), T.StructField("bits", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def mark(batch: pa.RecordBatch) -> dict:
-        nodes, bits, keys = [], [], []
+        nodes, bits, sketches, keys = [], [], [], []
         for text in batch.column(1).to_pylist():
             nodes.append(_node(text))
             hashes = np.unique(np.array(shingle_hashes(text, words, seed), np.uint64))
             bits.append(majority_bits(hashes))
+            sketches.append(sketch(hashes))
             keys.append(band_keys(hashes, seed=seed))
-        return {"id": batch.column(0), "node": pa.array(nodes, pa.binary()), "bits": pa.array(np.array(bits, np.uint64).view(np.int64)), "keys": pa.array(keys, pa.list_(pa.int64()))}
+        return {"id": batch.column(0), "node": pa.array(nodes, pa.binary()), "bits": pa.array(np.array(bits, np.uint64).view(np.int64)), "sketch": pa.array(sketches, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64()))}
 
     set_schema = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
 
@@ -360,38 +428,34 @@ def similar_documents(docs: DataFrame, id_col: str, text_col: str = "text", word
         return {"node": pa.array([_node(t) for t in texts], pa.binary()), "shingles": pa.array(sets, pa.list_(pa.int64()))}
 
     marked = materialise(map_arrow(docs.select(id_col, text_col), mark, mark_schema), "marked")
-    nodes = materialise(marked.groupBy("node").agg(F.min("id").alias("least_id"), F.min("bits").alias("bits"), F.min("keys").alias("keys")), "nodes")
+    nodes = materialise(marked.groupBy("node").agg(F.min("id").alias("least_id"), F.min("bits").alias("bits"), F.min("sketch").alias("sketch"), F.min("keys").alias("keys")), "nodes")
     each = nodes.select(F.explode("keys").alias("key"), "node", "bits")
-    lead = each.groupBy("key").agg(F.min(F.struct("node", "bits")).alias("l"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("l.node").alias("lead"), F.col("l.bits").alias("lead_bits"), "n")
-    shared = materialise(each.join(lead, "key"), "shared")
-    led = materialise(shared.where("node <> lead").select("node", "bits", "lead", "lead_bits").distinct().mapInArrow(_leads, _pair), "led")
+    shared = materialise(each.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_led, _shared), "shared")
+    led = materialise(shared.where("node <> lead").select("node", "bits", "lead", "lead_bits").distinct().mapInArrow(_chained_pairs, _pair).distinct(), "led")
 
     def with_sets(pairs: DataFrame) -> DataFrame:
         """The links among ``pairs``: shingle sets are made of the texts that occur in them, once for each of their nodes."""
         wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "least_id"), "node")
-        sets = materialise(map_arrow(pick(wanted.select(F.col("least_id").alias(id_col))).select(text_col), shingled, set_schema), "shingles")
+        sets = materialise(pick(wanted.select(F.col("least_id").alias(id_col)), shingled, set_schema), "shingles")
         left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
         return materialise(pairs.join(left, "a").join(right, "b").where(both >= least * (F.size("x") + F.size("y") - both)).select("a", "b"), "links")
 
     links_ = with_sets(led)
     found = materialise(components(links_), "members")
-    for one in (True, False):
-        placed = shared.join(found, "node", "left").select("key", "node", "bits", "n", F.coalesce("root", "node").alias("root"), (F.col("node") == F.col("lead")).alias("lead"))
-        open_keys = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-        rest = materialise(placed.join(open_keys, "key", "left_semi").where("n > 2"), "rest")
-        if rest.isEmpty():
-            break
+    placed = shared.join(found, "node", "left").select("key", "node", "bits", F.coalesce("root", "node").alias("root"), (F.col("node") == F.col("lead")).alias("lead"))
+    open_keys = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high AND n > 2").select("key", "n")
+    rest = materialise(placed.join(open_keys, "key"), "rest")
+    if not rest.isEmpty():
         chunks = F.ceil(F.col("n") / F.lit(max(1, hot // 2)))
         own = F.pmod(F.xxhash64("node"), chunks)
         # a key's members are dealt to chunks, and every two chunks, and each with itself, are a task's work
         cells = F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1), lambda j: F.struct((F.least(own, j) * chunks + F.greatest(own, j)).alias("cell"), F.when(own == j, LEFT | RIGHT).when(own < j, LEFT).otherwise(RIGHT).alias("side")))
-        dealt = rest.select("key", F.explode(cells).alias("c"), "node", "bits", "root", "lead").select("key", "c.cell", "node", "bits", "root", "c.side", "lead")
-        across = dealt.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_across(one), _pair).where("a <> b").distinct()
+        dealt = rest.join(nodes.select("node", "sketch"), "node").select("key", F.explode(cells).alias("c"), "node", "bits", "sketch", "root", "lead").select("key", "c.cell", "node", "bits", "sketch", "root", "c.side", "lead")
+        across = dealt.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_across(least), _pair).where("a <> b").distinct()
         pairs = materialise(across, "pairs")
         if not pairs.isEmpty():
-            links_ = links_.unionAll(with_sets(pairs))
-            found = materialise(components(links_), "members")
+            found = materialise(components(links_.unionAll(with_sets(pairs))), "members")
 
     named = nodes.select("node", "least_id").join(found, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     least_ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))

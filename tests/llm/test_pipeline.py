@@ -214,3 +214,19 @@ def test_boilerplate_family_in_a_large_source(spark, sf_dir, tmp_path):
 def test_run(spark, sf_dir):
     assert P.run(spark, sf_dir).count() > 0
     assert "pipeline" not in queries() and [n for n, _ in P.STAGES] == ["language_id", "quality_rules", "near_duplicates", "mix_sources", "pack_sequences"]
+
+
+def test_sketches_estimate_similarity():
+    from mergelake.llm import simhash
+
+    rng = np.random.default_rng(5)
+    for size in (3, 40, 4000):
+        for share in (0.3, 0.82, 1.0):
+            a = rng.integers(0, 1 << 63, size, np.uint64) * np.uint64(2)
+            both = max(1, round(size * 2 * share / (1 + share)))
+            b = np.concatenate([a[:both], rng.integers(0, 1 << 63, size - both, np.uint64)])
+            true = both / (2 * size - both)
+            x, y = (np.frombuffer(simhash.sketch(v), np.uint8)[None, :] for v in (a, b))
+            assert simhash.may_be_similar(x, y, 0.8)[0] or true < 0.8
+            assert not (size == 4000 and share == 0.3 and simhash.may_be_similar(x, y, 0.8)[0])
+    assert not any(simhash.sketch(np.empty(0, np.uint64)))
