@@ -66,7 +66,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     place = places.free_name(docs, "place")
     rows = places.placed(docs, place)
-    classes = simhash.similar_documents(rows, place, pick=lambda ids: places.taken(docs, ids, place))
+    classes = simhash.similar_documents(rows, place, pick=lambda ids, function, schema: places.taken(docs, ids, place, columns=["text"], function=function, schema=schema))
     return places.taken(docs, classes.where(F.col(place) == F.col("component_id")).select(place), place)
 
 
