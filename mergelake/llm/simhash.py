@@ -362,14 +362,28 @@ def _chained_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _across(least: float):
-    """Of (key, cell, node, bits, sketch, root, side, lead) sorted by key and cell: pairs of a left and a right node with
-    different roots that the chains and then the sketches let through, without the lead's, which were looked at before."""
+    """Of (key, cell, node, bits, sketch, keys, shingles, root, side, lead) sorted by key and cell: a spanning forest of the
+    links between left and right nodes with different roots, without the lead's, which were looked at before.
 
-    def pairs(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    A pair is looked at under the first key that its nodes share. Chains, then sketches, then the exact similarity decide.
+    """
+
+    def links(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
         bits, sides, leads = table["bits"].to_numpy().view(np.uint64), table["side"].to_numpy(), table["lead"].to_numpy(zero_copy_only=False)
-        roots, nodes = table["root"].combine_chunks().dictionary_encode().indices.to_numpy(), table["node"].combine_chunks()
+        roots, nodes, own_key = table["root"].combine_chunks().dictionary_encode().indices.to_numpy(), table["node"].combine_chunks(), table["key"].to_numpy()
         sketches = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        keys = table["keys"].combine_chunks().flatten().to_numpy().reshape(len(table), -1)
+        sets = table["shingles"].combine_chunks()
+        begins, values = sets.offsets.to_numpy(), sets.values.to_numpy()
+        parent = {r: r for r in np.unique(roots).tolist()}
+
+        def root(r: int) -> int:
+            while parent[r] != r:
+                parent[r] = parent[parent[r]]
+                r = parent[r]
+            return r
+
+        found: list[tuple[int, int]] = []
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             left, right = a + np.flatnonzero(sides[a:b] & LEFT), a + np.flatnonzero(sides[a:b] & RIGHT)
             for s in range(0, len(left), PAIRED):
@@ -377,16 +391,25 @@ def _across(least: float):
                     i, j = left[s : s + PAIRED], right[t : t + PAIRED]
                     at, to = np.nonzero((roots[i][:, None] != roots[j][None, :]) & ~leads[i][:, None] & ~leads[j][None, :])
                     i, j = i[at], j[to]
-                    kept = chained(bits[i], bits[j])
-                    i, j = i[kept], j[kept]
-                    kept = may_be_similar(sketches[i], sketches[j], least)
-                    found.append((i[kept], j[kept]))
-        i, j = (np.concatenate([f[n] for f in found] or [np.empty(0, np.int64)]) for n in (0, 1))
-        for a in range(0, len(i), 65_536):
-            one, two = nodes.take(pa.array(i[a : a + 65_536])).to_pylist(), nodes.take(pa.array(j[a : a + 65_536])).to_pylist()
+                    for kept in (lambda i, j: chained(bits[i], bits[j]), lambda i, j: keys[i, np.argmax(keys[i] == keys[j], axis=1)] == own_key[a], lambda i, j: may_be_similar(sketches[i], sketches[j], least)):
+                        ok = kept(i, j)
+                        i, j = i[ok], j[ok]
+                    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                        p, q = root(int(roots[x])), root(int(roots[y]))
+                        if p == q or (x > y and sides[x] & sides[y] == LEFT | RIGHT):
+                            continue
+                        one, two = values[begins[x] : begins[x + 1]], values[begins[y] : begins[y + 1]]
+                        if min(len(one), len(two)) < least * max(len(one), len(two)):
+                            continue
+                        both = len(np.intersect1d(one, two, assume_unique=True))
+                        if both >= least * (len(one) + len(two) - both):
+                            parent[max(p, q)] = min(p, q)
+                            found.append((x, y))
+        if found:
+            one, two = nodes.take(pa.array([x for x, _ in found])).to_pylist(), nodes.take(pa.array([y for _, y in found])).to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array(list(map(min, one, two)), pa.binary()), pa.array(list(map(max, one, two)), pa.binary())], _pair.names)
 
-    return lambda batches: by_group(batches, 2, pairs)
+    return lambda batches: by_group(batches, 2, links)
 
 
 def _node(text: str | None) -> bytes:
@@ -433,29 +456,30 @@ def similar_documents(docs: DataFrame, id_col: str, text_col: str = "text", word
     shared = materialise(each.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_led, _shared), "shared")
     led = materialise(shared.where("node <> lead").select("node", "bits", "lead", "lead_bits").distinct().mapInArrow(_chained_pairs, _pair).distinct(), "led")
 
-    def with_sets(pairs: DataFrame) -> DataFrame:
-        """The links among ``pairs``: shingle sets are made of the texts that occur in them, once for each of their nodes."""
-        wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "least_id"), "node")
-        sets = materialise(pick(wanted.select(F.col("least_id").alias(id_col)), shingled, set_schema), "shingles")
-        left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-        both = F.size(F.array_intersect("x", "y"))
-        return materialise(pairs.join(left, "a").join(right, "b").where(both >= least * (F.size("x") + F.size("y") - both)).select("a", "b"), "links")
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """The shingle sets of some nodes, made of their texts."""
+        ids = wanted.join(nodes.select("node", "least_id"), "node").select(F.col("least_id").alias(id_col))
+        return materialise(pick(ids, shingled, set_schema), "shingles")
 
-    links_ = with_sets(led)
+    sets = sets_of(led.select(F.col("a").alias("node")).unionAll(led.select(F.col("b").alias("node"))).distinct())
+    left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    links_ = materialise(led.join(left, "a").join(right, "b").where(both >= least * (F.size("x") + F.size("y") - both)).select("a", "b"), "links")
     found = materialise(components(links_), "members")
     placed = shared.join(found, "node", "left").select("key", "node", "bits", F.coalesce("root", "node").alias("root"), (F.col("node") == F.col("lead")).alias("lead"))
     open_keys = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high AND n > 2").select("key", "n")
     rest = materialise(placed.join(open_keys, "key"), "rest")
     if not rest.isEmpty():
-        chunks = F.ceil(F.col("n") / F.lit(max(1, hot // 2)))
+        chunks = F.ceil(F.col("n") / F.lit(max(1, min(PAIRED, hot // 2))))  # of few nodes, since they bring their sets
         own = F.pmod(F.xxhash64("node"), chunks)
         # a key's members are dealt to chunks, and every two chunks, and each with itself, are a task's work
         cells = F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1), lambda j: F.struct((F.least(own, j) * chunks + F.greatest(own, j)).alias("cell"), F.when(own == j, LEFT | RIGHT).when(own < j, LEFT).otherwise(RIGHT).alias("side")))
-        dealt = rest.join(nodes.select("node", "sketch"), "node").select("key", F.explode(cells).alias("c"), "node", "bits", "sketch", "root", "lead").select("key", "c.cell", "node", "bits", "sketch", "root", "c.side", "lead")
-        across = dealt.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_across(least), _pair).where("a <> b").distinct()
-        pairs = materialise(across, "pairs")
-        if not pairs.isEmpty():
-            found = materialise(components(links_.unionAll(with_sets(pairs))), "members")
+        brought = nodes.select("node", "sketch", "keys").join(sets_of(rest.select("node").distinct()), "node")
+        carried = ("node", "bits", "sketch", "keys", "shingles", "root")
+        dealt = rest.join(brought, "node").select("key", F.explode(cells).alias("c"), *carried, "lead").select("key", "c.cell", *carried, "c.side", "lead")
+        across = materialise(dealt.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_across(least), _pair).distinct(), "pairs")
+        if not across.isEmpty():
+            found = materialise(components(links_.unionAll(across)), "members")
 
     named = nodes.select("node", "least_id").join(found, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     least_ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
