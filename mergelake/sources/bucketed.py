@@ -20,6 +20,11 @@ from pyspark.sql import types as T
 
 #: Local folders that the driver lists itself.
 LISTED_HERE = 2048
+#: Bytes of files that one task merges; where a bucket has twice as many, rows are dealt to more tasks than there are buckets.
+#: Sorted keys take little room: half a million rows of three columns are 4 MB in files and some 300 MB in a sort.
+TASK_BYTES = 4 << 20
+#: Shuffled bytes that one task writes; a bucket with more becomes several files.
+PIECE_BYTES = 128 << 20
 
 
 def _seq(spark: SparkSession, items: Sequence):
@@ -41,6 +46,31 @@ def bucket_of_file(path: str) -> int:
     return int(re.search(r"_(\d+)\.", os.path.basename(path))[1])
 
 
+def piece_of_file() -> Column:
+    """Of the files that one commit has for a bucket, the place of a row's file: Spark numbers them in the order of the input."""
+    return F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("int")
+
+
+def tasks_for(files: Sequence[tuple[int, int]], buckets: int) -> int:
+    """Tasks to merge files, as (bucket, bytes), in: 0 if each bucket is small enough to be one, else how many rows are to be dealt to."""
+    sizes: dict[int, int] = {}
+    for bucket, size in files:
+        sizes[bucket] = sizes.get(bucket, 0) + size
+    return 0 if max(sizes.values()) <= 2 * TASK_BYTES else max(buckets, -(-sum(sizes.values()) // TASK_BYTES))
+
+
+@contextlib.contextmanager
+def _pieces(spark: SparkSession) -> Iterator[None]:
+    """A bucket is cut only where it is large, however small the session wants its tasks."""
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(PIECE_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def write(df: DataFrame, folder: str, partitions: Sequence[str], keys: Sequence[str], buckets: int) -> None:
     """Parquet files with their buckets in their names. The catalog entry that Spark's writer makes is taken away again."""
     spark, name = df.sparkSession, f"spark_catalog.default.mergelake_{uuid.uuid4().hex}"
@@ -48,7 +78,8 @@ def write(df: DataFrame, folder: str, partitions: Sequence[str], keys: Sequence[
     if partitions:
         writer = writer.partitionBy(*partitions)
     try:
-        writer.bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+        with _pieces(spark):
+            writer.bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")  # external: the files stay
 

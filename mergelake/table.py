@@ -163,7 +163,8 @@ class Table:
         """Writes rows under the commit's folder; returns the files of each partition.
 
         Keys are dealt to buckets by Spark's hash, a file for each bucket and partition, sorted by key; of equal keys
-        later rows of the input lie later. A table without keys is rebalanced by its range columns.
+        later rows of the input lie later. What is too much for one task becomes several files, in the order of the
+        input. A table without keys is rebalanced by its range columns.
         """
         info = self.info
         names = {r: f"p_{r}" for r in info.ranges}
@@ -172,8 +173,9 @@ class Table:
         folder = self.store.uri("data", f"commit={commit_id}")
         if info.keys:
             n = buckets or info.buckets
-            out = df.withColumn("_row", F.monotonically_increasing_id()).repartition(n, *[F.col(f"`{k}`") for k in info.keys]).withColumns(coded)
-            order = [*names.values(), bucketed.bucket_id(self.spark, info.keys, n), *[F.col(f"`{k}`") for k in info.keys], *sort_also, "_row"]
+            dealt = bucketed.bucket_id(self.spark, info.keys, n)
+            out = df.withColumns({"_row": F.monotonically_increasing_id(), "_bucket": dealt, **coded}).hint("rebalance", *names.values(), "_bucket")
+            order = [*names.values(), dealt, *[F.col(f"`{k}`") for k in info.keys], *sort_also, "_row"]
             bucketed.write(out.sortWithinPartitions(*order).select(*[F.col(f"`{c}`") for c in kept], *names.values()), folder, list(names.values()), info.keys, n)
         else:
             out = df.withColumns(coded).select(*[F.col(f"`{c}`") for c in kept], *names.values())
@@ -200,8 +202,11 @@ class Table:
     def _latest(self, partitions: Iterable[str] | None = None) -> dict[str, list[str]]:
         return {p: v.snapshot for p in (self.log.partitions() if partitions is None else partitions) if (v := self.log.now(p))}
 
-    def _load(self, snapshots: dict[str, list[str]], merge: bool = True, operators: dict[str, str] | None = None, buckets: tuple[int, int] | None = None, with_file: bool = False, only: set[str] | None = None) -> DataFrame:
-        """The rows of some snapshots, merged by key; of all their files, of every so-manieth bucket's (first, step), or ``only`` the files named."""
+    def _load(self, snapshots: dict[str, list[str]], merge: bool = True, operators: dict[str, str] | None = None, buckets: tuple[int, int] | None = None, with_file: bool = False, only: set[str] | None = None, tasks: int = 0) -> DataFrame:
+        """The rows of some snapshots, merged by key; of all their files, of every so-manieth bucket's (first, step), or ``only`` the files named.
+
+        Each bucket is merged by one task, unless one is too large for that: then rows are dealt by key to ``tasks``.
+        """
         info, struct = self.info, self.schema
         files = [(p, place, f) for p, ids in snapshots.items() for place, f in self.log.active(p, ids) if (buckets is None or f.bucket % buckets[1] == buckets[0]) and (only is None or f.path in only)]
         if not files:
@@ -210,7 +215,9 @@ class Table:
         coded = T.StructType([T.StructField("commit", T.StringType()), *[T.StructField(f"p_{r}", T.StringType()) for r in info.ranges]])
         paths = [self.store.uri(p) for p in self._paths(files)]
         dealt = {self.log.commit(p, snapshots[p][place]).buckets for p, place, _ in files}
-        if info.keys and len(dealt) == 1 and min(dealt) > 0:  # one layout: what needs rows of a key together needs no exchange
+        if info.keys:
+            tasks = tasks or bucketed.tasks_for([(f.bucket, f.size) for _, _, f in files], info.buckets)
+        if info.keys and not tasks and len(dealt) == 1 and min(dealt) > 0:  # one layout: what needs rows of a key together needs no exchange
             raw = bucketed.read(self.spark, paths, self.store.uri("data"), data, coded, info.keys, min(dealt))
         else:
             raw = self.spark.read.schema(T.StructType(data.fields + coded.fields)).option("basePath", self.store.uri("data")).parquet(*paths)
@@ -222,10 +229,13 @@ class Table:
                 raise TableError("merge operators need a table with keys")
             return raw.select(*[F.col(f"`{f.name}`") if f.name not in info.ranges else back[info.ranges.index(f.name)] for f in struct.fields], *([F.col("_metadata.file_path").alias("_file")] if with_file else []))
         if not operators and (split := self._base_and_deltas(snapshots, files)):
-            return self._over_base(snapshots, *split, buckets)
-        seq = F.struct(self._places(files), F.col("_metadata.row_index"))
+            return self._over_base(*split, buckets, tasks)
+        pieces = len({(os.path.dirname(f.path), f.bucket) for _, _, f in files}) < len(files)
+        seq = F.struct(self._places(files), *([bucketed.piece_of_file()] if pieces else []), F.col("_metadata.row_index"))
         rows = raw.select(*[F.col(f"`{f.name}`") for f in data.fields], *back, F.col("commit").alias(merging.FILE), seq.alias(merging.SEQ))
         columns = {f.name: (operators.get(f.name, "use_last"), f.dataType, self._has(f.name, files)) for f in data.fields if f.name not in info.keys}
+        if tasks:
+            rows = rows.repartition(tasks, *[F.col(f"`{k}`") for k in info.keys])
         if unknown := set(operators) - set(columns):
             raise TableError(f"merge operators for columns that are keys or not there: {', '.join(sorted(unknown))}")
         return merging.merged(rows, [*info.ranges, *info.keys], columns).select(*[f"`{f.name}`" for f in struct.fields])
@@ -241,11 +251,11 @@ class Table:
             return None
         return {p: ids[:1] for p, ids in snapshots.items()}, {p: ids[1:] for p, ids in snapshots.items() if ids[1:]}
 
-    def _over_base(self, snapshots: dict[str, list[str]], bases: dict[str, list[str]], deltas: dict[str, list[str]], buckets: tuple[int, int] | None) -> DataFrame:
+    def _over_base(self, bases: dict[str, list[str]], deltas: dict[str, list[str]], buckets: tuple[int, int] | None, tasks: int) -> DataFrame:
         """Upserts merged by themselves, and the base's rows whose key they have not: the base is not aggregated, and not
         shuffled either where Spark finds the upserts small enough to broadcast."""
         on = [*self.info.ranges, *self.info.keys]
-        base, delta = self._load(bases, buckets=buckets), self._load(deltas, buckets=buckets)
+        base, delta = self._load(bases, buckets=buckets, tasks=tasks), self._load(deltas, buckets=buckets, tasks=tasks)
         match = None
         for c in on:
             same = base[c].eqNullSafe(F.col(f"d.`{c}`")) if c in self.info.ranges else base[c] == F.col(f"d.`{c}`")
@@ -522,7 +532,7 @@ class Table:
     # ---- maintenance -----------------------------------------------------------------------------------------
 
     def compact(self, condition: str | None = None, operators: dict[str, str] | None = None, buckets: int | None = None, clean_old: bool = False) -> int:
-        """Merges each partition's files into one per bucket, applying merge operators. In a table with a change column
+        """Merges each partition's files into one per bucket (more where a bucket is large), applying merge operators. In a table with a change column
         deleted rows go and updates become inserts. Returns the number of partitions compacted."""
         info = self.info
         chosen = {p: v for p in self.partitions_for(condition) if (v := self.log.now(p)) and v.snapshot and (buckets or operators or not self._compacted(p, v.snapshot))}

@@ -1,11 +1,17 @@
 """What small tables on one machine do not show: executors with processes of their own, and buckets larger than a task should hold."""
 
 import os
+import re
 import subprocess
 import sys
 
+import pytest
 from conftest import ROOT, SF_DIR
 
+from mergelake.sources import bucketed
+from mergelake.sources.datasource import TableSource
+from mergelake.table import Table
+
 APART = """
 import os, sys
 from pyspark.sql import SparkSession
@@ -24,3 +30,46 @@ print("same rows")
 def test_embedded_databases_with_executors_apart(tmp_path):
     ran = subprocess.run([sys.executable, "-c", APART, SF_DIR], cwd=tmp_path, env={**os.environ, "PYTHONPATH": ROOT}, capture_output=True, text=True, timeout=300)
     assert "same rows" in ran.stdout, ran.stderr[-3000:]
+
+
+def _orders(spark, path, compacted: bool) -> Table:
+    """Whole and partial upserts, or whole ones over a compacted base; keys are repeated within a commit."""
+    rows = spark.range(0, 4000, 1, 4).selectExpr("id AS k", "string(id % 3) AS p", "id AS v", "'first' AS s")
+    t = Table.create(spark, path, rows, ranges=["p"], keys=["k"], buckets=2)
+    if compacted:
+        t.compact()
+    else:
+        t.upsert(rows.where("k % 5 = 0").selectExpr("k", "p", "'part' AS s"))
+    t.upsert(spark.range(0, 4000, 1, 4).selectExpr("id % 1000 AS k", "string(id % 1000 % 3) AS p", "-id AS v", "'last' AS s"))
+    return t
+
+
+def _want(compacted: bool) -> dict:
+    return {k: (str(k % 3), -k - 3000, "last") if k < 1000 else (str(k % 3), k, "part" if k % 5 == 0 and not compacted else "first") for k in range(4000)}
+
+
+@pytest.mark.parametrize("compacted", [False, True])
+def test_large_buckets_are_merged_by_more_tasks(spark, tmp_path, monkeypatch, compacted):
+    t = _orders(spark, str(tmp_path / "t"), compacted)
+    found = lambda df: {r["k"]: (r["p"], r["v"], r["s"]) for r in df.collect()}
+    assert found(t.read()) == _want(compacted) and bucketed.tasks_for([(0, 1), (1, 1)], 2) == 0
+    monkeypatch.setattr(bucketed, "TASK_BYTES", 500)
+    df = t.read()
+    merging = [int(n) for n in re.findall(r"hashpartitioning\(k#\d+L?, (\d+)\)", df._jdf.queryExecution().executedPlan().toString())]
+    assert min(merging) > 2 and found(df) == _want(compacted)
+    assert found(t.read("k = 7 AND p = '1'")) == {7: _want(compacted)[7]}
+    t.compact()
+    assert found(t.read()) == _want(compacted)
+
+
+@pytest.mark.parametrize("compacted", [False, True])
+def test_large_buckets_become_files_in_the_order_of_the_input(spark, tmp_path, monkeypatch, compacted):
+    monkeypatch.setattr(bucketed, "PIECE_BYTES", 100)
+    t = _orders(spark, str(tmp_path / "t"), compacted)
+    assert max(r["files"] / r["commits"] for r in t.statistics().collect()) > 2
+    spark.dataSource.register(TableSource)
+    for df in (t.read(), spark.read.format("mergelake").load(t.path)):
+        assert {r["k"]: (r["p"], r["v"], r["s"]) for r in df.collect()} == _want(compacted)
+    monkeypatch.setattr(bucketed, "TASK_BYTES", 500)
+    assert {r["k"]: (r["p"], r["v"], r["s"]) for r in t.read().collect()} == _want(compacted)
+    assert sum(t.read(buckets=(i, 2)).count() for i in range(2)) == 4000
