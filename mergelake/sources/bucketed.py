@@ -23,8 +23,8 @@ LISTED_HERE = 2048
 #: Bytes of files that one task merges; where a bucket has twice as many, rows are dealt to more tasks than there are buckets.
 #: Sorted keys take little room: half a million rows of three columns are 4 MB in files and some 300 MB in a sort.
 TASK_BYTES = 4 << 20
-#: Shuffled bytes that one task writes; a bucket with more becomes several files.
-PIECE_BYTES = 128 << 20
+#: Shuffled bytes that one task writes; a bucket with more becomes several files. Sorting takes several times as much, of narrow rows most.
+PIECE_BYTES = 32 << 20
 
 
 def _seq(spark: SparkSession, items: Sequence):
@@ -59,6 +59,13 @@ def tasks_for(files: Sequence[tuple[int, int]], buckets: int) -> int:
     return 0 if max(sizes.values()) <= 2 * TASK_BYTES else max(buckets, -(-sum(sizes.values()) // TASK_BYTES))
 
 
+def dealt_apart(df: DataFrame, on: Sequence[str], buckets: int) -> DataFrame:
+    """A table's rows, to be joined to rows that may be far more: Spark deals those to the table's buckets, however few, to spare
+    it an exchange. Where shuffles have more partitions than the table has buckets, its rows are dealt to as many too."""
+    few = buckets < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(*[F.col(f"`{c}`") for c in on]) if few else df
+
+
 @contextlib.contextmanager
 def _pieces(spark: SparkSession) -> Iterator[None]:
     """A bucket is cut only where it is large, however small the session wants its tasks."""

@@ -417,13 +417,16 @@ class Table:
         if condition:
             delta = delta.where(condition)
         fresh = delta.drop(*[c for c in delta.columns if c in (*info.ranges, *info.keys) and c not in on])
-        self.upsert(rows.select(*wanted).join(fresh, on, "inner"))
+        rows = rows.select(*wanted)
+        if set(info.keys) <= set(on):
+            rows = bucketed.dealt_apart(rows, on, info.buckets)
+        self.upsert(rows.join(fresh, on, "inner"))
 
     def join_with_tables_and_upsert(self, delta: DataFrame, tables: Iterable[Table], condition: str | None = None) -> None:
         """New facts: each dimension table's columns are joined to them by that table's keys, then all are upserted."""
         rows = delta.where(condition) if condition else delta
         for t in tables:
-            rows = rows.join(t.read(), t.info.keys, "left")
+            rows = rows.join(bucketed.dealt_apart(t.read(), t.info.keys, t.info.buckets), t.info.keys, "left")
         self.upsert(rows)
 
     def merge_into(self, source: DataFrame, on: str, update: dict[str, str] | str = "*", insert: dict[str, str] | str = "*", source_name: str = "s", target_name: str = "t") -> None:

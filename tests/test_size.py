@@ -7,6 +7,7 @@ import sys
 
 import pytest
 from conftest import ROOT, SF_DIR
+from pyspark.sql import types as T
 
 from mergelake.sources import bucketed
 from mergelake.sources.datasource import TableSource
@@ -73,3 +74,27 @@ def test_large_buckets_become_files_in_the_order_of_the_input(spark, tmp_path, m
     monkeypatch.setattr(bucketed, "TASK_BYTES", 500)
     assert {r["k"]: (r["p"], r["v"], r["s"]) for r in t.read().collect()} == _want(compacted)
     assert sum(t.read(buckets=(i, 2)).count() for i in range(2)) == 4000
+
+
+@pytest.mark.parametrize("how", ["tables", "key"])
+def test_many_rows_are_not_dealt_to_the_few_buckets_of_a_table_joined_to_them(spark, tmp_path, monkeypatch, how):
+    dim = Table.create(spark, str(tmp_path / "dim"), spark.range(10).selectExpr("id AS k", "string(id) AS s"), keys=["k"], buckets=2)
+    rows = spark.range(0, 4000, 1, 4).selectExpr("id AS f", "id % 20 AS k")
+    facts = Table.create(spark, str(tmp_path / "facts"), T.StructType([*rows.schema.fields, dim.schema["s"]]), keys=["f"], buckets=2)
+    seen: list = []
+    monkeypatch.setattr(Table, "upsert", lambda self, df: seen.append(df))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        facts.join_with_tables_and_upsert(rows, [dim]) if how == "tables" else dim.upsert_on_join_key(rows.selectExpr("k", "string(f) AS s"), ["k"])
+        text = seen[0]._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in text and set(re.findall(r"hashpartitioning\(.*?, (\d+)\)", text)) == {spark.conf.get("spark.sql.shuffle.partitions")}
+        assert seen[0].count() == (4000 if how == "tables" else 2000)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_bucket_of_forty_megabytes_is_written_by_more_than_one_task(spark, tmp_path):
+    rows = spark.range(0, 1_000_000, 1, 8).selectExpr("xxhash64(id) AS k", "sha2(string(id), 256) AS s")
+    t = Table.create(spark, str(tmp_path / "t"), rows, keys=["k"], buckets=1)
+    assert t.statistics().first()["files"] > 1 and t.read().agg({"k": "count"}).first()[0] == 1_000_000
