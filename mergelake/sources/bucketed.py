@@ -8,6 +8,7 @@ aggregates and joins on the keys then need no exchange, and equalities on a sing
 from __future__ import annotations
 
 import contextlib
+import math
 import os
 import re
 import uuid
@@ -23,6 +24,10 @@ LISTED_HERE = 2048
 #: Bytes of files that one task merges; where a bucket has twice as many, rows are dealt to more tasks than there are buckets.
 #: Sorted keys take little room: half a million rows of three columns are 4 MB in files and some 300 MB in a sort.
 TASK_BYTES = 4 << 20
+#: And rows: keys in a row beside a constant take little more than a byte in files, and some 150 in a sort.
+TASK_ROWS = 1 << 20
+#: Bytes of a bucket below which its rows are not counted, and the most footers that are read to count them.
+DENSE_BYTES, FOOTERS = 1 << 20, 4
 #: Shuffled bytes that one task writes; a bucket with more becomes several files. Sorting takes several times as much, of narrow rows most.
 PIECE_BYTES = 32 << 20
 
@@ -51,12 +56,36 @@ def piece_of_file() -> Column:
     return F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("int")
 
 
-def tasks_for(files: Sequence[tuple[int, int]], buckets: int) -> int:
+def tasks_for(files: Sequence[tuple[int, int]], buckets: int, rows_per_byte: float = 0.0) -> int:
     """Tasks to merge files, as (bucket, bytes), in: 0 if each bucket is small enough to be one, else how many rows are to be dealt to."""
     sizes: dict[int, int] = {}
     for bucket, size in files:
         sizes[bucket] = sizes.get(bucket, 0) + size
-    return 0 if max(sizes.values()) <= 2 * TASK_BYTES else max(buckets, -(-sum(sizes.values()) // TASK_BYTES))
+    most, total = max(sizes.values()), sum(sizes.values())
+    if most <= 2 * TASK_BYTES and most * rows_per_byte <= 2 * TASK_ROWS:
+        return 0
+    return max(buckets, -(-total // TASK_BYTES), math.ceil(total * rows_per_byte / TASK_ROWS))
+
+
+def rows_per_byte(spark: SparkSession, files: Sequence[tuple[int, int, str]]) -> float:
+    """Of files, as (bucket, bytes, path): by the footers of the largest in the largest bucket, whose others are taken to be as dense as
+    the densest of these. 0 where the bucket is too small to matter: no footer is read then."""
+    sizes: dict[int, int] = {}
+    for bucket, size, _ in files:
+        sizes[bucket] = sizes.get(bucket, 0) + size
+    largest = max(sizes, key=sizes.get)
+    if sizes[largest] < DENSE_BYTES:
+        return 0.0
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    parquet, seen = jvm.org.apache.parquet.hadoop, []
+    for size, path in sorted(((size, path) for bucket, size, path in files if bucket == largest), reverse=True)[:FOOTERS]:
+        reader = parquet.ParquetFileReader.open(parquet.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(path), conf))
+        try:
+            seen.append((size, reader.getRecordCount()))
+        finally:
+            reader.close()
+    rest = sizes[largest] - sum(size for size, _ in seen)
+    return (sum(n for _, n in seen) + rest * max(n / size for size, n in seen)) / sizes[largest]
 
 
 def dealt_apart(df: DataFrame, on: Sequence[str], buckets: int) -> DataFrame:

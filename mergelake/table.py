@@ -216,7 +216,7 @@ class Table:
         paths = [self.store.uri(p) for p in self._paths(files)]
         dealt = {self.log.commit(p, snapshots[p][place]).buckets for p, place, _ in files}
         if info.keys:
-            tasks = tasks or bucketed.tasks_for([(f.bucket, f.size) for _, _, f in files], info.buckets)
+            tasks = tasks or bucketed.tasks_for([(f.bucket, f.size) for _, _, f in files], info.buckets, bucketed.rows_per_byte(self.spark, [(f.bucket, f.size, self.store.uri(f.path)) for _, _, f in files]))
         if info.keys and not tasks and len(dealt) == 1 and min(dealt) > 0:  # one layout: what needs rows of a key together needs no exchange
             raw = bucketed.read(self.spark, paths, self.store.uri("data"), data, coded, info.keys, min(dealt))
         else:

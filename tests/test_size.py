@@ -98,3 +98,14 @@ def test_a_bucket_of_forty_megabytes_is_written_by_more_than_one_task(spark, tmp
     rows = spark.range(0, 1_000_000, 1, 8).selectExpr("xxhash64(id) AS k", "sha2(string(id), 256) AS s")
     t = Table.create(spark, str(tmp_path / "t"), rows, keys=["k"], buckets=1)
     assert t.statistics().first()["files"] > 1 and t.read().agg({"k": "count"}).first()[0] == 1_000_000
+
+
+def test_dense_files_are_merged_by_their_rows(spark, tmp_path, monkeypatch):
+    t = Table.create(spark, str(tmp_path / "t"), spark.range(0, 200_000, 1, 4).selectExpr("id AS k", "-1 AS v"), keys=["k"], buckets=2)
+    t.upsert(spark.range(0, 200_000, 2, 4).selectExpr("id AS k", "-2 AS v"))
+    monkeypatch.setattr(bucketed, "DENSE_BYTES", 1)
+    assert "hashpartitioning" not in t.read()._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(bucketed, "TASK_ROWS", 25_000)
+    df = t.read()
+    (tasks,) = {int(n) for n in re.findall(r"hashpartitioning\(k#\d+L?, (\d+)\)", df._jdf.queryExecution().executedPlan().toString())}
+    assert 12 <= tasks <= 14 and {(r["v"], r["count"]) for r in df.groupBy("v").count().collect()} == {(-1, 100_000), (-2, 100_000)}
