@@ -67,6 +67,18 @@ def tasks_for(files: Sequence[tuple[int, int]], buckets: int, rows_per_byte: flo
     return max(buckets, -(-total // TASK_BYTES), math.ceil(total * rows_per_byte / TASK_ROWS))
 
 
+def _footer(spark: SparkSession, path) -> tuple[int, int, int]:
+    """Of a Parquet file: its bytes, its rows, and those of its first row group."""
+    parquet = spark._jvm.org.apache.parquet.hadoop
+    file = parquet.util.HadoopInputFile.fromPath(path, spark._jsparkSession.sessionState().newHadoopConf())
+    reader = parquet.ParquetFileReader.open(file)
+    try:
+        groups = reader.getRowGroups()
+        return file.getLength(), reader.getRecordCount(), groups.get(0).getRowCount() if groups.size() else 0
+    finally:
+        reader.close()
+
+
 def rows_per_byte(spark: SparkSession, files: Sequence[tuple[int, int, str]]) -> float:
     """Of files, as (bucket, bytes, path): by the footers of the largest in the largest bucket, whose others are taken to be as dense as
     the densest of these. 0 where the bucket is too small to matter: no footer is read then."""
@@ -76,18 +88,36 @@ def rows_per_byte(spark: SparkSession, files: Sequence[tuple[int, int, str]]) ->
     largest = max(sizes, key=sizes.get)
     if sizes[largest] < DENSE_BYTES:
         return 0.0
-    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-    parquet, seen = jvm.org.apache.parquet.hadoop, []
-    for size, path in sorted(((size, path) for bucket, size, path in files if bucket == largest), reverse=True)[:FOOTERS]:
-        reader = parquet.ParquetFileReader.open(parquet.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(path), conf))
-        try:
-            seen.append((size, reader.getRecordCount()))
-        finally:
-            reader.close()
+    paths = sorted(((size, path) for bucket, size, path in files if bucket == largest), reverse=True)[:FOOTERS]
+    seen = [(size, _footer(spark, spark._jvm.org.apache.hadoop.fs.Path(path))[1]) for size, path in paths]
     rest = sizes[largest] - sum(size for size, _ in seen)
     return (sum(n for _, n in seen) + rest * max(n / size for size, n in seen)) / sizes[largest]
 
 
+def rows_of_a_task(df: DataFrame) -> int:
+    """Rows that one task may read of the Parquet files below ``df``, by at most four footers of each relation; 0 if there are
+    none, or too few bytes to matter. Dense files hold tens of millions of rows in less than Spark splits."""
+    spark, most = df.sparkSession, 0
+    leaves, conf = df._jdf.queryExecution().optimizedPlan().collectLeaves(), spark._jsparkSession.sessionState().conf()
+    for leaf in (leaves.apply(i) for i in range(leaves.size())):
+        if leaf.getClass().getSimpleName() != "LogicalRelation" or leaf.relation().getClass().getSimpleName() != "HadoopFsRelation":
+            continue
+        index, kind = leaf.relation().location(), leaf.relation().fileFormat().getClass().getSimpleName()
+        size = index.sizeInBytes()
+        if kind != "ParquetFileFormat" or size < DENSE_BYTES:
+            continue
+        paths = list(index.inputFiles())
+        seen = [_footer(spark, spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(p))) for p in paths[:: -(-len(paths) // FOOTERS)]]
+        split = min(conf.filesMaxPartitionBytes(), max(conf.filesOpenCostInBytes(), size // spark.sparkContext.defaultParallelism), size)
+        most = max(most, math.ceil(split * max(rows / length for length, rows, _ in seen)), *[first for _, _, first in seen])
+    return most
+
+
+def parts_for(df: DataFrame, buckets: int) -> int:
+    """Parts, by key, in which a bucket's rows are dealt: Spark cuts between the tasks that rows come from, and not the rows of one."""
+    return max(1, math.ceil(rows_of_a_task(df) / (buckets * 2 * TASK_ROWS)))
+
+
 def dealt_apart(df: DataFrame, on: Sequence[str], buckets: int) -> DataFrame:
     """A table's rows, to be joined to rows that may be far more: Spark deals those to the table's buckets, however few, to spare
     it an exchange. Where shuffles have more partitions than the table has buckets, its rows are dealt to as many too."""

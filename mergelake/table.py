@@ -164,7 +164,7 @@ class Table:
 
         Keys are dealt to buckets by Spark's hash, a file for each bucket and partition, sorted by key; of equal keys
         later rows of the input lie later. What is too much for one task becomes several files, in the order of the
-        input. A table without keys is rebalanced by its range columns.
+        input for any key. A table without keys is rebalanced by its range columns.
         """
         info = self.info
         names = {r: f"p_{r}" for r in info.ranges}
@@ -174,7 +174,8 @@ class Table:
         if info.keys:
             n = buckets or info.buckets
             dealt = bucketed.bucket_id(self.spark, info.keys, n)
-            out = df.withColumns({"_row": F.monotonically_increasing_id(), "_bucket": dealt, **coded}).hint("rebalance", *names.values(), "_bucket")
+            part = bucketed.bucket_id(self.spark, info.keys, n * bucketed.parts_for(df, n))  # modulo n it is the bucket
+            out = df.withColumns({"_row": F.monotonically_increasing_id(), "_bucket": part, **coded}).hint("rebalance", *names.values(), "_bucket")
             order = [*names.values(), dealt, *[F.col(f"`{k}`") for k in info.keys], *sort_also, "_row"]
             bucketed.write(out.sortWithinPartitions(*order).select(*[F.col(f"`{c}`") for c in kept], *names.values()), folder, list(names.values()), info.keys, n)
         else:

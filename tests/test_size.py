@@ -109,3 +109,19 @@ def test_dense_files_are_merged_by_their_rows(spark, tmp_path, monkeypatch):
     df = t.read()
     (tasks,) = {int(n) for n in re.findall(r"hashpartitioning\(k#\d+L?, (\d+)\)", df._jdf.queryExecution().executedPlan().toString())}
     assert 12 <= tasks <= 14 and {(r["v"], r["count"]) for r in df.groupBy("v").count().collect()} == {(-1, 100_000), (-2, 100_000)}
+
+
+def test_a_bucket_is_cut_where_one_task_reads_all_its_rows(spark, tmp_path, monkeypatch):
+    rows = spark.range(0, 200_000, 1, 1).selectExpr("id % 100000 AS k", "id AS v", "sha2(string(id), 256) AS s")
+    rows.write.option("parquet.block.size", 1 << 20).parquet(str(tmp_path / "given"))
+    given = spark.read.parquet(str(tmp_path / "given")).coalesce(1)
+    monkeypatch.setattr(bucketed, "PIECE_BYTES", 1 << 20)
+    monkeypatch.setattr(bucketed, "TASK_ROWS", 5_000)
+    t = Table.create(spark, str(tmp_path / "t"), given, keys=["k"], buckets=2)
+    assert t.statistics().first()["files"] > 2
+    assert bucketed.rows_of_a_task(given) >= 50_000 and bucketed.parts_for(given, 2) >= 3
+    monkeypatch.undo()
+    assert bucketed.parts_for(given, 2) == 1 and bucketed.parts_for(rows, 2) == 1
+    assert t.read().where("v = k + 100000 AND s = sha2(string(v), 256)").count() == 100_000 == t.read().count()
+    assert sum(t.read(buckets=(i, 2)).count() for i in range(2)) == 100_000
+    assert t.read("k = 7").first()["v"] == 100_007
